@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash
+from . import decontam, mixing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,77 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dups(table(spark, sf_dir, "documents"), words=4, bits=4)
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), max_epochs=3.0, seed=42)
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("row.id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_decontaminate": op6_decontaminate,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), k AS (
+  SELECT *, md5('42:' || coalesce(doc_id::VARCHAR, 'null')) || ':' || coalesce(doc_id::VARCHAR, 'null') || ':' || size AS key FROM d
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM k GROUP BY source
+), c AS (
+  SELECT *, source_size * 3.0::DOUBLE AS cap FROM s
+), o AS (
+  SELECT *, row_number() OVER w AS place, coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+    coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_before,
+    sum(weight) OVER () AS weight_all, (sum(source_size) OVER ())::DOUBLE AS share_all
+  FROM c WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)
+), l AS (
+  SELECT *, (share_all - cap_before) / (weight_all - weight_before)::DOUBLE AS level FROM o
+), f AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT level FROM l WHERE cap > level * weight ORDER BY place LIMIT 1) * weight, cap)) AS target FROM l
+), e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM f
+), r AS (
+  SELECT *, floor(target)::BIGINT - whole * source_size AS rest FROM e
+), n AS (
+  SELECT source, key, sum(size)::BIGINT AS same_size, count(*) AS same,
+    coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM k GROUP BY source, key
+)
+SELECT k.doc_id, k.size, r.source_size, r.target,
+  r.whole * k.size + CASE WHEN n.before + n.same_size <= r.rest THEN k.size WHEN n.before <= r.rest THEN (r.rest - n.before) // n.same ELSE 0 END AS taken
+FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source JOIN n ON k.source IS NOT DISTINCT FROM n.source AND k.key = n.key
+""",
+    "op6_decontaminate": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), []) AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), i AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda p: array_to_string(w[p : p + 9], ' '))) AS g FROM b WHERE len(w) > 0
+), x AS (
+  SELECT r, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n
+), m AS (
+  SELECT x.r, x.p, x.n, i.item FROM x JOIN i ON x.n = i.n AND array_to_string(x.w[x.p : x.p + x.n - 1], ' ') = i.g
+), h AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM m) GROUP BY r
+), t AS (
+  SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+""",
+}
