@@ -8,6 +8,8 @@ from .common import WORD, cut
 
 #: Hex digits of the seeded hash that name a slot; a source's words are added up by slot first.
 SLOT_DIGITS = 3
+#: Tables of up to so many sources are broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -81,7 +83,9 @@ def _plan(narrow: DataFrame, weights: DataFrame | None, max_epochs: float) -> Da
     run = F.sum("same_size").over(W.partitionBy("s").orderBy("key").rowsBetween(W.unboundedPreceding, -1))
     near = near.withColumn("before", F.col("slot_before") + F.coalesce(run, F.lit(0))).where("before <= rest AND before + same_size > rest")
     last = near.select(F.col("s").alias("edge_source"), F.col("key").alias("edge_key"), F.floor((F.col("rest") - F.col("before")) / F.col("same")).cast("long").alias("edge_part"))
-    return fills.join(last, F.col("s").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
+    plan = cut(fills.join(last, F.col("s").eqNullSafe(F.col("edge_source")), "left").drop("edge_source"))
+    # One row for each source; with very many sources no single one needs a broadcast.
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
 
 
 def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
