@@ -97,16 +97,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return None
     row_of, marks = marks_of([np.array(r.at) for r in marked])
     model = Model([], row_of, marks, np.zeros((marks.shape[1], 0)), np.zeros(0))
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(tuple(vars(model).values()))
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(PLACES, dtype=bool)
+        seen, m = np.zeros(PLACES, dtype=bool), Model(*sent.value)
         for b in batches:
             got = [grams(t.as_py(), seen) for t in b.column(0)]
             some = [i for i, g in enumerate(got) if g is not None]
             for a in range(0, len(some), 128):
                 part = some[a : a + 128]
-                k = sent.value.kernels([got[i] for i in part])
+                k = m.kernels([got[i] for i in part])
                 yield pa.RecordBatch.from_arrays([pa.array(list(k), pa.list_(pa.float32())), b.column(1).take(pa.array(part))], names=["k", "lang"])
 
     rows = texts.mapInArrow(kernels, "k array<float>, lang string").collect()
@@ -131,11 +131,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     Null texts and texts without a letter get 'und' and score 0, as all do without a model.
     Ties go to the first language in order.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model and tuple(vars(model).values()))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = sent.value, np.zeros(PLACES, dtype=bool)
+        m, seen = sent.value and Model(*sent.value), np.zeros(PLACES, dtype=bool)
         for b in batches:
             lang, score = [UNKNOWN] * b.num_rows, np.zeros(b.num_rows)
             held: list[tuple[int, np.ndarray]] = []
