@@ -1 +1 @@
-
+"""Column builders and SQL functions."""

@@ -19,6 +19,7 @@ Lookups test the filter, search the index by bisection and read one block.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import struct
 import zlib
@@ -193,19 +194,83 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def encode_texts(tok, texts: list[str], cache: dict[str, bytes], dtype: str) -> list[bytes]:
-    """Ids of each text as bytes. The vocabulary drops white space, so that words between
-    blanks and line ends encode alone; the library sees each unlike word once."""
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for ws in split for w in ws if w not in cache})
-    if len(cache) + len(new) > 400_000:
-        cache.clear()
-        new = list({w for ws in split for w in ws})
-    for a in range(0, len(new), 5000):
-        part = new[a : a + 5000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, dtype=dtype).tobytes()
-    return [b"".join(map(cache.__getitem__, ws)) for ws in split]
+class TextEncoder:
+    """Ids of texts as bytes, by a tokenizers file whose vocabulary drops white space.
+
+    Words between blanks and line ends then encode alone, and the library sees each unlike
+    one once. Plain Latin words go to it many in one text, lower-cased and without a comma
+    or full stop after them, which is a token of its own; the word-end mark tells them
+    apart again.
+    """
+
+    WORDS = 250_000
+
+    def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.width = 2 if max(self.tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+        self.dtype = f"<u{self.width}"
+        self.end = np.array([end_id], dtype=self.dtype).tobytes()
+        spec = json.loads(self.tok.to_str())
+        mark = spec["model"].get("end_of_word_suffix")
+        self.ends = None
+        if mark:
+            vocab = self.tok.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_plain(self, words: list[str]) -> None:
+        for a in range(0, len(words), 300):
+            part = words[a : a + 300]
+            ids = self.library([" ".join(part)])[0]
+            at = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(at) == len(part):
+                data = ids.tobytes()
+                for w, x, y in zip(part, [0, *at], at):
+                    self.plain[w] = data[x:y]
+            else:
+                for w, x in zip(part, self.library(part)):
+                    self.plain[w] = x.tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        parts, odd, words = [], [], set()
+        for c in new:
+            w, stop = (c[:-1], c[-1]) if c[-1:] in (",", ".") else (c, "")
+            # Latin letters that stay letters in lower case.
+            if self.ends is not None and w and max(w) < "\u0250" and w.isalpha() and (low := w.lower()).isalpha():
+                parts.append((c, low, stop))
+                if low not in self.plain:
+                    words.add(low)
+            else:
+                odd.append(c)
+        if len(self.plain) + len(words) > self.WORDS:
+            self.plain.clear()
+            words = {low for _, low, _ in parts}
+        stops = dict(zip(",.", (x.tobytes() for x in self.library([",", "."])))) | {"": b""}
+        self.encode_plain(sorted(words))
+        for c, low, stop in parts:
+            self.chunks[c] = self.plain[low] + stops[stop]
+        for a in range(0, len(odd), 1000):
+            part = odd[a : a + 1000]
+            for c, x in zip(part, self.library(part)):
+                self.chunks[c] = x.tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list({c for cs in split for c in cs if c not in self.chunks})
+        if len(self.chunks) + len(new) > self.WORDS:
+            self.chunks.clear()
+            new = list({c for cs in split for c in cs})
+        self.learn(new)
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, cs)) for cs in split]
 
 
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -220,13 +285,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer)
-        width = 2 if max(tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-        dtype, cache = f"<u{width}", {}
-        end = np.array([end_id], dtype=dtype).tobytes()
+        encoder = TextEncoder(tokenizer, end_id)
+        width, end = encoder.width, encoder.end
         fs, root = opened(path)
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
@@ -248,7 +308,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 some = b.slice(at, 512)
                 ids = some.column(0).to_pylist()
                 texts = [t or "" for t in some.column(1).to_pylist()]
-                for i, v in zip(ids, encode_texts(tok, texts, cache, dtype)):
+                for i, v in zip(ids, encoder.encode(texts)):
                     copy = copy + 1 if i == before else 0
                     before = i
                     writer.add(i, copy, v + end)
