@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .trajectory import kabsch
 
 BLOCK_ROWS = 1024
+#: Pairs of blocks are dealt to this many tasks at most; a task then compares several, one after another.
+MAX_TASKS = 20_000
 
 
 def pack(df: DataFrame, blocks: int, name: str, cols: list[str]) -> DataFrame:
@@ -31,7 +33,7 @@ def block_pairs(ref: DataFrame, query: DataFrame, cols: list[str], rows: int) ->
     refs, queries = pack(ref, r, "r", cols), pack(query, q, "q", cols)
     # Each query block once for every reference block: an equi-join, dealt by both.
     queries = queries.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(r - 1))))
-    return queries.join(refs, F.col("r_block") == refs["r_block"]).select("q", "r").repartition(max(8, r * q) if r * q > 1 else 1)
+    return queries.join(refs, "r_block").select("q", "r").repartition(min(r * q, MAX_TASKS))
 
 
 Distance = Callable[[list, list], np.ndarray]

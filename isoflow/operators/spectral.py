@@ -41,6 +41,7 @@ def top_eigs(edges: DataFrame, n: int, iterations: int = 200, seed: int = 42) ->
     is |Av - lv| / |l|; converged tells whether it is within the root of the machine epsilon.
     """
     spark = edges.sparkSession
+    edges = edges.persist()
     nodes = edges.select(F.col("i").alias("id")).union(edges.select("j")).distinct()
     n_nodes, n_edges = nodes.count(), edges.count()
     if n_nodes <= DRIVER_NODES and n_edges <= DRIVER_EDGES:

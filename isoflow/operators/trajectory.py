@@ -58,9 +58,13 @@ def centre_of_mass(coords: Column, masses: list[float] | None = None, atoms: lis
     """Weighted mean position of all atoms or some."""
     if atoms is not None:
         coords = F.array(*(coords[a] for a in atoms))
-        masses = None if masses is None else [masses[a] for a in atoms]
+        masses = None if masses is None else [float(masses[a]) for a in atoms]
     m = masses_of(masses, coords)
-    return F.array(*(total(F.zip_with(coords, m, lambda p, w, k=k: p[k] * w)) / total(m) for k in range(3)))
+
+    def mean(k: int) -> Column:
+        return total(F.zip_with(coords, m, lambda p, w: p[k] * w)) / total(m)
+
+    return F.array(*map(mean, range(3)))
 
 
 def centred(coords: Column, masses: list[float] | None = None) -> Column:

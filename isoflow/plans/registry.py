@@ -1,4 +1,4 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import neighbourhoods, spectra, trajectories  # noqa: F401
+from .inputs import ORACLE, QUERIES  # noqa: F401
