@@ -51,16 +51,14 @@ def winnowed(words: Column) -> Column:
 
 def whole_items(words: str, lengths: list[int]) -> Column:
     """Array of (pos, len, hash) of every run of one of ``lengths`` words."""
-    parts = [
-        F.when(
-            F.size(words) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.size(words) - (n - 1)),
-                lambda i, n=n: F.struct((i - 1).alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.lit(n), F.slice(F.col(words), i, n)).alias("hash")),
-            ),
-        )
-        for n in lengths
-    ]
+
+    def runs(n: int) -> Column:
+        def run(i: Column) -> Column:
+            return F.struct((i - 1).alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.lit(n), F.slice(F.col(words), i, n)).alias("hash"))
+
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), run))
+
+    parts = [runs(n) for n in lengths]
     return F.flatten(F.array_compact(F.array(*parts))) if parts else F.array().cast("array<struct<pos:int,len:int,hash:bigint>>")
 
 
