@@ -16,6 +16,8 @@ from .common import fold
 ORDERS, PLACES = (1, 2, 3), 1 << 18
 #: Bound of the sample that is fitted: rows for each language, and landmarks among them.
 FIT_ROWS, LANDMARKS, RIDGE = 400, 24, 1e-3
+#: Parts in which a language's sample is chosen before it is chosen as a whole.
+SLOTS = 256
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -81,8 +83,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL")
-    order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    some = narrow.where(fold(F.col("id")) != 0).withColumn("n", order).where(F.col("n") <= fit_rows).dropDuplicates(["id"])
+    # First by slot, so that the task of a language gets SLOTS * fit_rows rows at most however many tasks scan.
+    narrow = narrow.where(fold(F.col("id")) != 0).withColumn("slot", F.pmod(F.hash("id"), F.lit(SLOTS)))
+    for keys in (["lang", "slot"], ["lang"]):
+        order = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("id"), "id"))
+        narrow = narrow.withColumn("n", order).where(F.col("n") <= fit_rows)
+    some = narrow.drop("slot").dropDuplicates(["id"])
     # Bounded: fit_rows ids for each language.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select("text", "lang", "n", "id")
 
