@@ -8,6 +8,9 @@ meet are extended word by word, which also settles hash collisions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -32,23 +35,41 @@ def let(x: Column, f) -> Column:
 def winnowed(words: Column) -> Column:
     """Array of (pos, len, hash), pos from 0, for the selected K-grams of ``words``."""
 
+    def grams(w: Column) -> Column:
+        each = F.transform(w, lambda x: F.xxhash64(x))
+        return let(each, lambda e: F.transform(F.slice(e, 1, F.size(e) - (K - 1)), lambda x, i: F.xxhash64(x, *(F.get(e, i + o) for o in range(1, K)))))
+
+    # Extremes of WINDOW values from those of two; places outside an array are null and do not count.
+    def least(h: Column) -> Column:
+        two = F.transform(h, lambda x, i: F.least(x, F.get(h, i + 1)))
+        return let(two, lambda t: F.transform(F.slice(t, 1, F.size(t) - (WINDOW - 1)), lambda x, i: F.least(x, *(F.get(t, i + o) for o in range(2, WINDOW, 2)))))
+
     def chosen(h: Column, m: Column) -> Column:
-        def keep(x: Column, p: Column) -> Column:
-            a = F.greatest(F.lit(1), p - (WINDOW - 2))
-            return F.when(x == F.array_max(F.slice(m, a, p + 2 - a)), F.struct(p.alias("pos"), F.lit(K).alias("len"), x.alias("hash")))
+        two = F.transform(h, lambda _, p: F.greatest(F.get(m, p), F.get(m, p - 1)))
 
-        return F.array_compact(F.transform(h, keep))
+        def keep(t: Column):
+            def one(x: Column, p: Column) -> Column:
+                most = F.greatest(F.get(t, p), *(F.get(t, p - o) for o in range(2, WINDOW, 2)))
+                return F.when(x == most, F.struct(p.alias("pos"), F.lit(K).alias("len"), x.alias("hash")))
 
-    def least(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.array_min(F.slice(h, i, WINDOW)))
+            return one
 
-    def grams(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - (K - 1)), lambda i: F.xxhash64(F.slice(w, i, K)))
+        return let(two, lambda t: F.array_compact(F.transform(h, keep(t))))
 
     found = let(words, lambda w: F.when(F.size(w) >= SPAN, let(grams(w), lambda h: let(least(h), lambda m: chosen(h, m)))))
     return F.coalesce(found, F.array().cast("array<struct<pos:int,len:int,hash:bigint>>"))
 
 
+def maybe_known(hashes: list[int]) -> Callable[[Column], Column]:
+    """A Bloom test that is true of every one of ``hashes`` and of few other values."""
+    bits = min(1 << 18, 1 << max(12, (32 * len(hashes)).bit_length()))
+    at = np.array(hashes, dtype=np.int64) & (bits - 1)
+    filled = np.zeros(bits // 64, dtype=np.int64)
+    np.bitwise_or.at(filled, at >> 6, np.left_shift(np.int64(1), at & 63))
+    table = F.lit(filled)
+    return lambda h: F.getbit(F.get(table, F.shiftright(h.bitwiseAND(bits - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+
+
 def whole_items(words: str, lengths: list[int]) -> Column:
     """Array of (pos, len, hash) of every run of one of ``lengths`` words."""
 
@@ -102,17 +123,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     size = prints.agg(F.count("*"), F.sum(F.octet_length(F.array_join("ictx", " ")))).first()
     small = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_CHARS
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words_of(F.col(text_col)).alias("w"))
+    sel = F.concat(winnowed(F.col("w")), whole_items("w", short)) if short else winnowed(F.col("w"))
+    if small:
+        # BROADCAST_ROWS hashes at most.
+        known = maybe_known([r.ihash for r in prints.select("ihash").distinct().collect()])
+        sel = F.filter(sel, lambda s: known(s["hash"]))
+
+    def in_place(s: Column) -> Column:
+        ctx, before = around("w", s["pos"])
+        return F.struct(s["pos"].alias("pos"), s["len"].alias("len"), s["hash"].alias("hash"), ctx.alias("dctx"), before.alias("dbefore"))
+
     # A mark for the row itself goes first; its hash is null and meets nothing.
-    mark = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("bigint").alias("hash")))
-    d = d.select("id", "text_hash", "w", F.concat(mark, winnowed(F.col("w")), *([whole_items("w", short)] if short else [])).alias("sel"))
-    d = d.select("id", "text_hash", "w", F.size("w").cast("long").alias("n"), F.explode("sel").alias("s")).select("id", "text_hash", "w", "n", "s.*")
-    ctx, before = around("w", F.greatest(F.col("pos"), F.lit(0)))
+    mark = F.array(F.expr("named_struct('pos', -1, 'len', cast(null as int), 'hash', cast(null as bigint), 'dctx', cast(array() as array<string>), 'dbefore', 0)"))
+    d = d.select("id", "text_hash", F.size("w").cast("long").alias("n"), F.concat(mark, F.transform(sel, in_place)).alias("sel"))
+    # Never empty; a plain explode would have a filter pushed down that computes all fingerprints once more.
+    d = d.select("id", "text_hash", "n", F.explode_outer("sel").alias("s")).select("id", "text_hash", "n", "s.*")
     on = (F.col("hash") == F.col("ihash")) & (F.col("len") == F.col("ilen"))
     if small:
-        d = d.join(F.broadcast(prints), on, "left").where("pos < 0 OR item IS NOT NULL OR ihash IS NOT NULL")
-        d = d.select("id", "text_hash", "n", "pos", "len", "item", "ictx", "ibefore", ctx.alias("dctx"), before.alias("dbefore"))
+        d = d.join(F.broadcast(prints), on, "left").where("pos < 0 OR ihash IS NOT NULL")
     else:
-        d = d.select("id", "text_hash", "n", "pos", "len", "hash", ctx.alias("dctx"), before.alias("dbefore"))
         d = d.where("pos < 0").withColumns({"item": F.lit(None).cast("string"), "ictx": F.lit(None).cast("array<string>"), "ibefore": F.lit(None).cast("int")}).drop("hash").unionByName(
             d.where("pos >= 0").join(prints, on).drop("hash", "ihash", "ilen")
         )
