@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from isoflow.llm import decontam, langid, mixing, simhash, sstable
+from isoflow.llm import decontam, langid, mixing, near_copies, sstable
 from isoflow.llm.common import fresh_path
 
 
@@ -20,8 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the smallest id."""
-    found = simhash.simhash_near_dups(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    """Keeps one document of each group of near copies (Jaccard similarity 0.8 of five-word shingles), the one with the smallest id."""
+    found = near_copies.near_copy_groups(docs).groupBy("group").agg(F.min("id").alias("_kept"))
     return docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
 
 

@@ -27,35 +27,40 @@ BUCKET_ROWS = 4096
 SEED = 42
 
 
-def fingerprint(text: bytes | None, words: int = 4) -> int:
-    """Unsigned 64-bit SimHash of one UTF-8 text.
+def shingle_hashes(text: bytes | None, words: int = 4) -> np.ndarray:
+    """XXH64 of every shingle of one UTF-8 text, in order.
 
     A-Z are lower-cased, words end at ASCII white space, shingles of ``words`` words are
-    joined by a space and hashed with XXH64; repeats count. Fewer words make one shingle;
-    no words give zero.
+    joined by a space. Fewer words make one shingle, no words none.
     """
     tokens = (text or b"").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     flat = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        return digest(flat, SEED)
+        return np.array([digest(flat, SEED)], dtype=np.uint64)
     at = [0]
     for x in map(len, tokens):
         at.append(at[-1] + x + 1)
-    hashes = np.array([digest(flat[a : b - 1], SEED) for a, b in zip(at, at[words:])], dtype=np.uint64)
+    return np.array([digest(flat[a : b - 1], SEED) for a, b in zip(at, at[words:])], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit number of the bits that more than half of the hashes have; repeats count. None give zero."""
     n = len(hashes)
-    if n <= 4096:
-        ones = np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        ones = np.zeros(64, dtype=np.int64)
-        for a in range(0, n, 4096):
-            block = hashes[a : a + 4096]
-            ones += np.unpackbits(block.view(np.uint8).reshape(len(block), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    ones = np.zeros(64, dtype=np.int64)
+    for a in range(0, n, 4096):
+        block = hashes[a : a + 4096]
+        ones += np.unpackbits(block.view(np.uint8).reshape(len(block), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes | None, words: int = 4) -> int:
+    """Unsigned 64-bit SimHash of one UTF-8 text."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
 
