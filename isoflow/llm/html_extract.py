@@ -1,14 +1,17 @@
-"""Main text of web pages: page structure first, a host suffix array for what it leaves open.
+"""Main text of web pages: repeated runs of a host's suffix array, guarded by page structure.
 
 A page is cut into blocks. Blocks inside an article or main element are the article; blocks
-in menus, headers, footers, sidebars, notices, adverts, forms and comments are not. On a
-page without an article element the other blocks are open: the token streams of all such
-pages of a host are taken together, their suffixes sorted to a depth of RUN tokens, and
-runs that stand on PAGES or more distinct pages are boilerplate; the unique runs stay.
+in menus, headers, footers, sidebars, notices, adverts, forms and comments are not. This
+guard holds on every page, as articles repeat text too and menus can be unique. On a page
+without an article element the other blocks are open: the token streams outside articles
+of all pages of its host are taken together, their suffixes sorted to a depth of RUN
+tokens, and runs that stand on PAGES or more pages of distinct content are boilerplate;
+the unique runs stay.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -134,21 +137,43 @@ def host(url):
     return F.lower(F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+def segments(blocks: list[tuple[str, str]]) -> tuple[list[tuple[str, int, int]], list[tuple[int, str]]]:
+    """(text, segment, place of its first token) of each open block, and (segment, text) of all outside articles.
+
+    A block of RUN tokens is a segment; shorter neighbours of one kind, as the entries of a
+    menu, make one together. Segments that are not open only vote and have number -1.
+    """
+    opens, segs, last = [], [], ""
+    for place, text in blocks:
+        n = text.count(" ") + 1
+        if place != "main":
+            if n >= RUN or last != place:
+                segs.append([place, [], 0])
+            own = segs[-1]
+            if place == "open":
+                opens.append((text, len(segs) - 1, own[2]))
+            own[1].append(text)
+            own[2] += n
+        last = place if n < RUN else ""
+    return opens, [(k if place == "open" else -1, " ".join(ts)) for k, (place, ts, n) in enumerate(segs) if n >= RUN]
+
+
 def boilerplate(blocks: DataFrame, run: int = RUN, pages: int = PAGES) -> DataFrame:
     """(key, block, covered): places (from 0) of tokens in runs that repeat across pages of a host.
 
-    ``blocks(host, key, block, tokens)``. Suffixes that agree in their first ``run`` tokens
-    are neighbours in the host's suffix array with a common prefix that long; a group of
-    them counts if it has suffixes from ``pages`` distinct pages. Pages are counted in two
-    steps, so that neither a common run nor a large host gathers in one task. A block
-    shorter than a run is one suffix of its own.
+    ``blocks(host, content, key, block, tokens)``; those with a negative block are counted
+    but not returned. Suffixes that agree in their first ``run`` tokens are neighbours in
+    the host's suffix array with a common prefix that long; a group of them counts if it
+    has suffixes from pages of ``pages`` distinct contents, so that mirrors of a page do not
+    vote against its text. Contents are counted in two steps, so that neither a common run
+    nor a large host gathers in one task. A block shorter than a run has none.
     """
-    n = F.greatest(F.size("tokens") - (run - 1), F.lit(1))
-    suffixes = blocks.select("host", "key", "block", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.slice("tokens", i, run))).alias("at", "prefix"))
-    classes = suffixes.groupBy("host", "prefix", "key").count().groupBy("host", "prefix").agg(F.count("*").alias("n_pages"))
+    n = F.size("tokens") - (run - 1)
+    suffixes = blocks.where(n > 0).select("host", "content", "key", "block", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.slice("tokens", i, run))).alias("at", "prefix"))
+    classes = suffixes.groupBy("host", "prefix", "content").count().groupBy("host", "prefix").agg(F.count("*").alias("n_pages"))
     repeated = classes.where(F.col("n_pages") >= pages).drop("n_pages")
     # A class is one row, so that a join on a common run can be split.
-    hit = suffixes.join(repeated, ["host", "prefix"])
+    hit = suffixes.where("block >= 0").join(repeated, ["host", "prefix"])
     hit = hit.select("key", "block", F.explode(F.sequence("at", F.col("at") + F.size("prefix") - 1)).alias("place"))
     return hit.groupBy("key", "block").agg(F.collect_set("place").alias("covered"))
 
@@ -158,30 +183,43 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages, and those without article or open text, give an empty text. Pages
     without a host form one host. Rows are told apart by place, so repeated ids and rows
-    are all returned; copies of a page on one host count as distinct pages only if their
-    ids differ. Character references are decoded, white space in a block is one blank.
+    are all returned; copies of a page on one host count as one page, whatever their ids.
+    A block shorter than a run goes only if it is covered whole, with its short neighbours.
+    Character references are decoded, white space in a block is one blank.
     """
     kind = pages.schema[id_col].dataType.simpleString()
+    open_type = pa.list_(pa.struct([("t", pa.string()), ("seg", pa.int32()), ("at", pa.int32())]))
+    segs_type = pa.list_(pa.struct([("block", pa.int32()), ("t", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, opens = [], []
+            texts, opens, segs, contents = [], [], [], []
             for h in b.column(2):
                 article, blocks = page_blocks(h.as_py())
+                own, rest = segments(blocks)
                 texts.append("\n\n".join(t for p, t in blocks if p == "main"))
-                opens.append(None if article else [t for p, t in blocks if p == "open"] or None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string()))], names=["id", "url", "text", "open"])
+                opens.append(None if article else [dict(zip(("t", "seg", "at"), o)) for o in own] or None)
+                segs.append([{"block": -1 if article else k, "t": t} for k, t in rest])
+                contents.append(texts[-1] if article else "\n\n".join(o[0] for o in own))
+            digests = pa.array([hashlib.md5(c.encode("utf-8", "surrogatepass")).digest() for c in contents], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(opens, open_type), pa.array(segs, segs_type), digests], names=["id", "url", "text", "open", "segs", "content"])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     # A page is kept as text once and read from there by both branches.
-    rows = cut(rows.mapInArrow(run, f"id {kind}, url string, text string, open array<string>"))
+    rows = cut(rows.mapInArrow(run, f"id {kind}, url string, text string, open array<struct<t:string,seg:int,at:int>>, segs array<struct<block:int,t:string>>, content binary"))
+    rows = rows.withColumn("host", F.coalesce(host(F.col("url")), F.lit("")))
     found = rows.where("open IS NULL").select("id", "url", "text")
-    left = rows.where("open IS NOT NULL").withColumn("key", F.struct("id", "url", F.xxhash64("open").alias("h")))
-    blocks = left.select("key", F.coalesce(host(F.col("url")), F.lit("")).alias("host"), F.posexplode("open").alias("block", "t"))
-    covered = boilerplate(blocks.select("host", "key", "block", F.split("t", " ").alias("tokens")).distinct())
-    kept = blocks.alias("b").join(covered.alias("c"), F.col("b.key").eqNullSafe(F.col("c.key")) & (F.col("b.block") == F.col("c.block")), "left")
-    unique = F.array_join(F.filter(F.split("t", " "), lambda x, i: ~F.array_contains(F.coalesce("covered", F.array().cast("array<int>")), i)), " ")
-    kept = kept.select("b.key", F.col("b.block").alias("block"), unique.alias("t")).where("t <> ''").distinct()
+    keyed = rows.withColumn("key", F.struct("id", "url", F.xxhash64("open").alias("h")))
+    left = keyed.where("open IS NOT NULL")
+    # Only hosts with an open page have something to decide; there all pages vote.
+    votes = keyed.join(left.select("host").distinct(), "host", "left_semi").select("host", "content", "key", F.explode("segs").alias("s"))
+    covered = boilerplate(votes.select("host", "content", "key", "s.block", F.split("s.t", " ").alias("tokens")).distinct())
+    blocks = left.select("key", F.posexplode("open").alias("block", "o")).select("key", "block", "o.*").distinct()
+    kept = blocks.alias("b").join(covered.alias("c"), F.col("b.key").eqNullSafe(F.col("c.key")) & (F.col("b.seg") == F.col("c.block")), "left")
+    tokens, gone = F.split("t", " "), F.coalesce("covered", F.array().cast("array<int>"))
+    unique = F.array_join(F.filter(tokens, lambda x, i: ~F.array_contains(gone, i + F.col("at"))), " ")
+    unique = F.when((F.size(tokens) < RUN) & (unique != ""), F.col("t")).otherwise(unique)
+    kept = kept.select("b.key", F.col("b.block").alias("block"), unique.alias("t")).where("t <> ''")
     texts = kept.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("block", "t"))).alias("ts")).select("key", F.array_join(F.col("ts.t"), "\n\n").alias("text"))
     open_pages = left.alias("l").join(texts.alias("t"), F.col("l.key").eqNullSafe(F.col("t.key")), "left").select("l.id", "l.url", F.coalesce("t.text", F.lit("")).alias("text"))
     out = found.unionByName(open_pages)
