@@ -20,9 +20,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (Jaccard similarity 0.8 of five-word shingles), the one with the smallest id."""
-    found = near_copies.near_copy_groups(docs).groupBy("group").agg(F.min("id").alias("_kept"))
-    return docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """Keeps one row of each group of near copies (Jaccard similarity 0.8 of five-word shingles).
+
+    It is the one with the smallest id, nulls last, then the least MD5 of the text. Of rows
+    that repeat its id and text the least in the order of the columns stays.
+    """
+    found = near_copies.near_copy_groups(docs)
+    # The rows of a group are first reduced where they are read, so no group is large.
+    best = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("b"))
+    best = best.select(F.col("b.id").alias("_id"), F.col("b.h").alias("_h"))
+    own = docs.withColumn("_hash", near_copies.text_hash("text"))
+    own = own.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
+    return own.groupBy("doc_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,12 @@
 """The corpus pipeline and its near-copy stage against brute force."""
 
+import hashlib
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from isoflow.llm import near_copies
 
 DOC = "doc_id long, text string, lang string, source string, n_chars int"
@@ -43,6 +48,21 @@ def corpus():
     return texts + [texts[0].upper(), texts[3], "one two", "one two", "one", "w1 w2 w3 w4 w5 w6"]
 
 
+def rows_of(texts):
+    rows = [(None if i % 7 == 3 else i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    # Repeated rows, a repeated id with another text, and a text with an id and without.
+    return rows + rows[:5] + rows[:1] + [(1, "other words under the same id as the second text", "en", "a", 9), (None, texts[-1], "en", "a", 9)]
+
+
+def kept(rows):
+    comp = groups([r[1] for r in rows])
+    best = {}
+    for c, r in zip(comp, rows):
+        key = (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest(), r)
+        best[c] = min(best.get(c, key), key)
+    return sorted((str(b[3][0]), b[3][1]) for b in best.values())
+
+
 def test_groups_equal_brute_force(spark):
     texts = corpus()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -50,3 +70,22 @@ def test_groups_equal_brute_force(spark):
     comp = groups(texts)
     assert len(got) == len(texts) and len(set(comp)) < 100
     assert len({(got[i], c) for i, c in enumerate(comp)}) == len(set(comp)) == len(set(got.values()))
+
+
+@pytest.mark.parametrize("common", [2, near_copies.COMMON])
+def test_near_copies_equal_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    rows = rows_of(corpus())
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOC), "")
+    assert got.columns == [c.split()[0] for c in DOC.split(", ")]
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == kept(rows)
+    assert corpus_pipeline.drop_near_duplicates(spark, got.limit(0), "").count() == 0
+
+
+def test_run(spark, tmp_path):
+    rows = rows_of(corpus())
+    spark.createDataFrame([*rows, (900, None, "en", "a", 0), (901, "12 3", "en", "a", 0)], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x y z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # With one source every kept row is taken once.
+    got = corpus_pipeline.run(spark, str(tmp_path)).select(F.col("doc_id").cast("string").alias("i")).collect()
+    assert sorted(r.i or "None" for r in got) == sorted(i for i, _ in kept(rows))
