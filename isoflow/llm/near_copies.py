@@ -24,6 +24,8 @@ from .simhash import majority, shingle_hashes, simhash_links
 
 #: About so many rows show which shingles are common, and so many common ones are kept. They order shingles and never decide what is linked.
 SAMPLE_ROWS, COMMON = 10_000, 200_000
+#: So many hashes of texts to compare are broadcast; beyond that the texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 
 
 def text_hash(text_col: str):
@@ -101,7 +103,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
     needed = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    needed = needed.join(nodes.select("key", "h"), "key")
+    needed = cut(needed.join(nodes.select("key", "h"), "key"))
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
     # One text for each node, however often it is repeated.
     texts = docs.select(text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("t")).join(needed, "h").groupBy("key").agg(F.min("t").alias("t"))
     texts = cut(texts)
@@ -127,7 +130,8 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     found = connected_components(near)
     linked = nodes.join(found, nodes.key == found.node, "left").select("key", "n", "prefix", F.coalesce("component", "key").alias("c"))
-    lists = linked.select("key", "n", "c", F.explode("prefix").alias("s"))
+    # Dealt once by shingle, for the choice of lists and for the lists themselves.
+    lists = linked.select("key", F.col("n").cast("int").alias("n"), "c", F.explode("prefix").alias("s")).repartition("s")
     # Shingles of one group only are left out before pairs are made.
     mixed = lists.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
     lists = cut(lists.join(mixed, "s"))
