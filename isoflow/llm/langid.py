@@ -83,14 +83,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL")
+    # An id counts once, with its first language, however many rows repeat it.
+    narrow = narrow.groupBy("id").agg(F.min("lang").alias("lang"))
     # First by slot, so that the task of a language gets SLOTS * fit_rows rows at most however many tasks scan.
     narrow = narrow.where(fold(F.col("id")) != 0).withColumn("slot", F.pmod(F.hash("id"), F.lit(SLOTS)))
     for keys in (["lang", "slot"], ["lang"]):
         order = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("id"), "id"))
         narrow = narrow.withColumn("n", order).where(F.col("n") <= fit_rows)
-    some = narrow.drop("slot").dropDuplicates(["id"])
-    # Bounded: fit_rows ids for each language.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select("text", "lang", "n", "id")
+    some = narrow.drop("slot")
+    # Bounded: fit_rows ids for each language, and of each id the row with the least hash of its text.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), ["id", "lang"])
+    texts = texts.groupBy("id", "lang", "n").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("r.text", "lang", "n", "id")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(PLACES, dtype=bool)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from isoflow.llm import near_copies
+from isoflow.llm import langid, near_copies
 
 DOC = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -89,3 +89,11 @@ def test_run(spark, tmp_path):
     # With one source every kept row is taken once.
     got = corpus_pipeline.run(spark, str(tmp_path)).select(F.col("doc_id").cast("string").alias("i")).collect()
     assert sorted(r.i or "None" for r in got) == sorted(i for i, _ in kept(rows))
+
+
+def test_language_sample_takes_an_id_once(spark, monkeypatch):
+    rows = [(i, f"some words {i}", "en") for i in range(1, 30)] + [(1, f"other words {i}", "en") for i in range(300)]
+    seen = []
+    monkeypatch.setattr(langid, "marks_of", lambda present, f=langid.marks_of: (seen.append(len(present)), f(present))[1])
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), landmarks=100)
+    assert seen and seen[0] <= 29
