@@ -182,6 +182,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identified_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that have a language, with all their columns."""
+    """The rows of ``docs`` that have a language, with all their columns.
+
+    Those are the rows whose text has a letter, with a model or without one.
+    """
     model = fit(docs, id_col, text_col, lang_col)
+    if model is None:
+        return with_letters(docs, text_col)
     return predict(docs, model, text_col).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+
+
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [any(map(str.isalpha, set(t.as_py() or ""))) for t in b.column(len(names))]
+            yield b.select(range(len(names))).filter(pa.array(ok, pa.bool_()))
+
+    return docs.select("*", F.col(text_col).cast("string").alias("_text")).mapInArrow(run, docs.schema)

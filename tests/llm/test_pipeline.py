@@ -91,6 +91,12 @@ def test_run(spark, tmp_path):
     assert sorted(r.i or "None" for r in got) == sorted(i for i, _ in kept(rows))
 
 
+def test_language_stage_without_a_model_keeps_clean_texts(spark):
+    rows = [(i, t, None, "a", 0) for i, t in enumerate(["clean words", "ünd", None, "", "12 --", "_"])]
+    got = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, DOC), "")
+    assert got.columns == [c.split()[0] for c in DOC.split(", ")] and sorted(r.doc_id for r in got.collect()) == [0, 1]
+
+
 def test_language_sample_takes_an_id_once(spark, monkeypatch):
     rows = [(i, f"some words {i}", "en") for i in range(1, 30)] + [(1, f"other words {i}", "en") for i in range(300)]
     seen = []
