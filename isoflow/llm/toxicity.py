@@ -87,8 +87,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = named.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     some = some.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(fit_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Bounded: fit_rows ids and labels.
-    texts = texts.join(F.broadcast(some), "id").select("text", "y", "h")
+    # Bounded: fit_rows ids and labels, and of each id the row with the least hash of its text.
+    texts = texts.join(F.broadcast(some), "id").groupBy("id", "y", "h").agg(F.min(F.struct(F.xxhash64("text").alias("t"), "text")).alias("r")).select("r.text", "y", "h")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
