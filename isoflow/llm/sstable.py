@@ -19,9 +19,13 @@ Lookups test the filter, search the index by bisection and read one block.
 from __future__ import annotations
 
 import bisect
+import functools
 import json
+import math
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,6 +43,8 @@ MAGIC = b"SSTIDS01"
 FOOTER, FOOTER_BYTES = "<QQQQQQIIQ", 64
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 16 << 20
+#: Text that a task encodes; at most so many tasks, which then take more, one document after another.
+TASK_BYTES, MAX_TASKS = 16 << 20, 20_000
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
@@ -194,98 +200,125 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+#: Characters that lower-case and compose one by one and that a chunk is cut by here; other texts go to the library whole.
+PLAIN = [c for c in map(chr, range(0x250)) if len(c.lower()) == 1 and c.lower() < "\u0250"]
+_LETTERS = "".join(c for c in PLAIN if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(c for c in PLAIN if unicodedata.category(c)[0] == "N")
+_OTHER = re.compile(f"[^{re.escape(''.join(PLAIN))}]")
+#: The split of the vocabulary file, written out for PLAIN characters.
+_CHUNK = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\t-\r \x85\xa0]+")
+
+
 class TextEncoder:
-    """Ids of texts as bytes, by a tokenizers file whose vocabulary drops white space.
+    """Ids of texts as bytes, by a tokenizers file whose vocabulary marks word ends.
 
-    Words between blanks and line ends then encode alone, and the library sees each unlike
-    one once. Plain Latin words go to it many in one text, lower-cased and without a comma
-    or full stop after them, which is a token of its own; the word-end mark tells them
-    apart again.
+    Where the file lower-cases, drops white space and splits as _CHUNK does, texts of PLAIN
+    characters are split here, and the library's model sees each unlike chunk once, many in
+    one text; the word-end mark tells them apart again. All other texts go to the library
+    whole.
     """
 
-    WORDS = 250_000
+    #: Chunks kept; the older half goes when they are more.
+    KEPT = 600_000
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers as pre
 
         self.tok = Tokenizer.from_file(path)
-        self.width = 2 if max(self.tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(len(vocab), max(vocab.values()) + 1, end_id + 1) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
         spec = json.loads(self.tok.to_str())
-        mark = spec["model"].get("end_of_word_suffix")
-        self.ends = None
-        if mark:
-            vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.special = re.compile("|".join([re.escape(t["content"]) for t in spec["added_tokens"]] or ["(?!)"]))
+        self.chunked = json.dumps([spec["normalizer"], spec["pre_tokenizer"]]) == json.dumps(CHUNKED) and bool(mark := spec["model"].get("end_of_word_suffix"))
+        if self.chunked:
+            self.words = Tokenizer(self.tok.model)
+            self.words.pre_tokenizer = pre.Sequence([pre.Split(" ", "removed"), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
             self.ends[[i for t, i in vocab.items() if t.endswith(mark)]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def library(self, tok, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_plain(self, words: list[str]) -> None:
-        for a in range(0, len(words), 300):
-            part = words[a : a + 300]
-            ids = self.library([" ".join(part)])[0]
+    def learn(self, new: list[str]) -> None:
+        for a in range(0, len(new), 300):
+            part = new[a : a + 300]
+            ids = self.library(self.words, [" ".join(part)])[0]
             at = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
             if len(at) == len(part):
                 data = ids.tobytes()
                 for w, x, y in zip(part, [0, *at], at):
-                    self.plain[w] = data[x:y]
+                    self.young[w] = data[x:y]
             else:
-                for w, x in zip(part, self.library(part)):
-                    self.plain[w] = x.tobytes()
-
-    def learn(self, new: list[str]) -> None:
-        parts, odd, words = [], [], set()
-        for c in new:
-            w, stop = (c[:-1], c[-1]) if c[-1:] in (",", ".") else (c, "")
-            # Latin letters that stay letters in lower case.
-            if self.ends is not None and w and max(w) < "\u0250" and w.isalpha() and (low := w.lower()).isalpha():
-                parts.append((c, low, stop))
-                if low not in self.plain:
-                    words.add(low)
-            else:
-                odd.append(c)
-        if len(self.plain) + len(words) > self.WORDS:
-            self.plain.clear()
-            words = {low for _, low, _ in parts}
-        stops = dict(zip(",.", (x.tobytes() for x in self.library([",", "."])))) | {"": b""}
-        self.encode_plain(sorted(words))
-        for c, low, stop in parts:
-            self.chunks[c] = self.plain[low] + stops[stop]
-        for a in range(0, len(odd), 1000):
-            part = odd[a : a + 1000]
-            for c, x in zip(part, self.library(part)):
-                self.chunks[c] = x.tobytes()
+                for w, x in zip(part, self.library(self.words, part)):
+                    self.young[w] = x.tobytes()
+
+    def recall(self, words: set[str]) -> None:
+        """Puts all of ``words`` into the young half."""
+        if len(self.young) + len(words) > self.KEPT // 2:
+            self.old, self.young = self.young, {}
+        new = []
+        for w in words:
+            if w not in self.young:
+                if (v := self.old.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.young[w] = v
+        self.learn(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({c for cs in split for c in cs if c not in self.chunks})
-        if len(self.chunks) + len(new) > self.WORDS:
-            self.chunks.clear()
-            new = list({c for cs in split for c in cs})
-        self.learn(new)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, cs)) for cs in split]
+        out: list[bytes | None] = [None] * len(texts)
+        split, whole = [], []
+        for i, t in enumerate(texts):
+            if self.chunked and not _OTHER.search(t) and not self.special.search(t):
+                split.append((i, _CHUNK.findall(t.lower())))
+            else:
+                whole.append(i)
+        self.recall(set().union(*(ws for _, ws in split)))
+        get = self.young.__getitem__
+        for i, ws in split:
+            out[i] = b"".join(map(get, ws))
+        for i, x in zip(whole, self.library(self.tok, [texts[i] for i in whole])):
+            out[i] = x.tobytes()
+        return out
+
+
+#: Normalizer and split of a file whose texts are cut by _CHUNK (fixed values of its format).
+CHUNKED = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+
+
+@functools.lru_cache(maxsize=1)
+def shared_encoder(path: str, end_id: int) -> TextEncoder:
+    """One encoder for all tasks of a Python worker, with the chunks they met."""
+    return TextEncoder(path, end_id)
 
 
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes every text and writes shards under ``path`` in ascending order of id, nulls first.
 
     Returns (shard, n_docs, n_ids), a row for each file, in the order of their names.
-    ``tokenizer`` is a file of the tokenizers library whose vocabulary drops white space;
-    special strings in texts become special ids, as is the library's default. ``end_id`` is
-    appended to every document; null texts count as empty; rows of equal id are kept, in
-    the order of their texts. A file gets its final name when it is whole, so a task that
+    ``tokenizer`` is a file of the tokenizers library; special strings in texts become
+    special ids, as is the library's default. ``end_id`` is appended to every document;
+    null texts count as empty; rows of equal id are all kept, in the order of a hash of their
+    texts, and numbered within the task that has them. A file gets its final name when it is whole, so a task that
     runs again replaces what it wrote. An empty table writes no file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer, end_id)
+        encoder = shared_encoder(tokenizer, end_id)
         width, end = encoder.width, encoder.end
         fs, root = opened(path)
         task = TaskContext.get()
@@ -318,8 +351,11 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         yield pa.RecordBatch.from_pydict({"shard": [d[0] for d in done], "n_docs": pa.array([d[1] for d in done], pa.int64()), "n_ids": pa.array([d[2] for d in done], pa.int64())}, schema=pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Rows of one id may be many, but they are one key of the order and stay together.
-    rows = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # Rows of one id may be many, so they are dealt by their texts too.
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = F.col("id").asc_nulls_first(), F.col("h")
+    rows = rows.repartitionByRange(min(MAX_TASKS, math.ceil(size / TASK_BYTES) + 1), *order).sortWithinPartitions(*order, "text")
     return cut(rows.mapInArrow(run, "shard string, n_docs long, n_ids long"))
 
 

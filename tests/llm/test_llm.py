@@ -1,6 +1,7 @@
 """The training-data operators against brute force, with nulls, empty and long texts, ties, repeats and empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -239,3 +240,25 @@ def test_language(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - 3
     assert langid.identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_encoder_equals_the_library():
+    encoder, rng = sstable.TextEncoder(P.path("word_bpe_49k.json"), 1), random.Random(5)
+    encoder.KEPT = 4000
+    parts = ["a", "B", "ß", "É", "İ", "ı", "'s", "'LL", " ", "\n", "\x85", "\xa0", "\x1c", "1", "²", "½", "...", ",", "<|endoftext|>", "Σ", "日本", "ͅ", "ǅ", "ɐ", "\x00", "-", "ª", "ʰ", "’", "🙂"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    texts += ["".join(chr(rng.randrange(0x250)) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    for a in range(0, len(texts), 500):
+        part = texts[a : a + 500]
+        want = [np.array(e.ids, dtype=encoder.dtype).tobytes() for e in encoder.tok.encode_batch_fast(part, add_special_tokens=False)]
+        assert encoder.encode(part) == want
+
+
+def test_shards_of_one_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sstable, "TASK_BYTES", 2000)
+    df = spark.createDataFrame([(7 if i % 3 else i, f"text {i}") for i in range(1500)] + [(None, "none")] * 3, "doc_id long, text string")
+    where = f"file://{tmp_path}/shards"
+    got = sstable.token_digests(df, P.path("word_bpe_49k.json"), path=where).orderBy("start").collect()
+    assert len(got) == 1503 and [r.doc_id for r in got[:3]] == [None] * 3
+    assert [r.start for r in got[1:]] == np.cumsum([r.n_tokens for r in got]).tolist()[:-1]
+    assert len(sstable.lookup(where, 7)) == 1000 and len(sstable.lookup(where, None)) == 3
