@@ -172,6 +172,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit, with all their columns."""
-    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("row.id").alias("_id"), F.col("row.text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col]) == bad["_hash"]), "left_anti")
+    """The rows of ``docs`` without a hit, with all their columns, whatever their names.
+
+    Rows with null ids, null or empty texts and repeated rows are kept unless they have one.
+    """
+    bad = contamination(docs, benchmark, id_col, text_col).where("contaminated").select("row.id", "row.text_hash").distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"))
+    return own.join(bad, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), "left_anti").select("row.*")

@@ -27,7 +27,7 @@ from .html_blocks import page_blocks
 #: A repeated substring has so many tokens at least and stands on so many distinct pages.
 RUN, PAGES = 8, 3
 #: Tokens sorted in one task; larger hosts are dealt into parts by content.
-PART_TOKENS = 1 << 20
+PART_TOKENS = 1 << 17
 #: Repeated runs that are broadcast, 16 bytes each; beyond that they are joined.
 BROADCAST_RUNS = 1_000_000
 

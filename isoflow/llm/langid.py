@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from .common import fold
 
@@ -16,8 +16,8 @@ from .common import fold
 ORDERS, PLACES = (1, 2, 3), 1 << 18
 #: Bound of the sample that is fitted: rows for each language, and landmarks among them.
 FIT_ROWS, LANDMARKS, RIDGE = 400, 24, 1e-3
-#: Parts in which a language's sample is chosen before it is chosen as a whole.
-SLOTS = 256
+#: Parts in which a language's sample is chosen before it is chosen as a whole; each gives SLOT_SHARE times its even share at most.
+SLOTS, SLOT_SHARE = 256, 4
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -76,8 +76,8 @@ def marks_of(present: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> Model | None:
     """Fits on ``fit_rows`` rows of each language at most, whose crc32(id) mod 5 is not 0.
 
-    They are those with the least hash of their id, the first ``landmarks`` of them the
-    Nystrom landmarks. Tasks make the kernels of the sampled texts; the driver gets a row
+    They are those with the least hash of their id, of at most SLOT_SHARE times the even share
+    of each slot of ids, the first ``landmarks`` of them the Nystrom landmarks. Tasks make the kernels of the sampled texts; the driver gets a row
     of landmark kernels for each and solves one ridge regression for each language.
     None if no row can be learned from.
     """
@@ -85,11 +85,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     narrow = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL")
     # An id counts once, with its first language, however many rows repeat it.
     narrow = narrow.groupBy("id").agg(F.min("lang").alias("lang"))
-    # First by slot, so that the task of a language gets SLOTS * fit_rows rows at most however many tasks scan.
+    # First by slot, so that the task of a language gets about SLOT_SHARE * fit_rows rows however many it has.
     narrow = narrow.where(fold(F.col("id")) != 0).withColumn("slot", F.pmod(F.hash("id"), F.lit(SLOTS)))
-    for keys in (["lang", "slot"], ["lang"]):
+    for keys, most in ((["lang", "slot"], max(8, SLOT_SHARE * fit_rows // SLOTS)), (["lang"], fit_rows)):
         order = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("id"), "id"))
-        narrow = narrow.withColumn("n", order).where(F.col("n") <= fit_rows)
+        narrow = narrow.withColumn("n", order).where(F.col("n") <= most)
     some = narrow.drop("slot")
     # Bounded: fit_rows ids for each language, and of each id the row with the least hash of its text.
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), ["id", "lang"])
@@ -135,13 +135,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``struct(columns of docs)`` as row, lang_pred, score (0 to 1) for every row of ``docs``.
+    """(row, lang_pred, score) for every row of ``docs``; row is a struct of all its columns, score is from 0 to 1.
 
     Null texts and texts without a letter get 'und' and score 0, as all do without a model.
     Ties go to the first language in order.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model and tuple(vars(model).values()))
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = sent.value and Model(*sent.value), np.zeros(PLACES, dtype=bool)
@@ -156,7 +155,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 held.clear()
 
             if m is not None:
-                for i, t in enumerate(b.column(len(names))):
+                for i, t in enumerate(b.column(1)):
                     g = grams(t.as_py(), seen)
                     if g is not None:
                         held.append((i, g))
@@ -164,11 +163,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                             flush()
                 if held:
                     flush()
-            row = pa.StructArray.from_arrays(b.columns[: len(names)], fields=[pa.field(f.name, f.type) for f in list(b.schema)[: len(names)]])
-            yield pa.RecordBatch.from_arrays([row, pa.array(lang), pa.array(score)], names=["row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
-    schema = f"row {docs.select(F.struct(*names)).schema[0].dataType.simpleString()}, lang_pred string, score double"
-    return docs.select("*", F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -182,23 +181,27 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def identified_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that have a language, with all their columns.
+    """The rows of ``docs`` that have a language, with all their columns; a null language becomes the predicted one.
 
-    Those are the rows whose text has a letter, with a model or without one.
+    Those are the rows whose text has a letter: null, empty and other texts go. Without a
+    model (no row to learn from, as in an empty table) a null language stays null. Repeated
+    rows and null ids are kept; other columns may have any names.
     """
     model = fit(docs, id_col, text_col, lang_col)
     if model is None:
         return with_letters(docs, text_col)
-    return predict(docs, model, text_col).where(F.col("lang_pred") != UNKNOWN).select("row.*")
+    found = predict(docs, model, text_col).where(F.col("lang_pred") != UNKNOWN)
+    row, kinds = F.col("row"), dict(docs.dtypes)
+    return found.select(*((F.coalesce(row[c], F.col("lang_pred").cast(kinds[c])) if c == lang_col else row[c]).alias(c) for c in docs.columns))
 
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a letter."""
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [any(map(str.isalpha, set(t.as_py() or ""))) for t in b.column(len(names))]
-            yield b.select(range(len(names))).filter(pa.array(ok, pa.bool_()))
+            ok = [any(map(str.isalpha, set(t.as_py() or ""))) for t in b.column(1)]
+            yield b.select([0]).filter(pa.array(ok, pa.bool_()))
 
-    return docs.select("*", F.col(text_col).cast("string").alias("_text")).mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")

@@ -55,7 +55,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: in
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     size = n_words(F.col(text_col))
     key = F.concat_ws(":", F.md5(F.concat(F.lit(f"{seed}:"), ident).cast("binary")), ident, size.cast("string"))
-    return docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"))
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"))
 
 
 def _plan(narrow: DataFrame, weights: DataFrame | None, max_epochs: float) -> DataFrame:
@@ -110,9 +110,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3
 
 
 def mixed_copies(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for every repetition taken.
+    """The mix itself: the columns of ``docs``, whatever their names, a row for every repetition taken.
 
-    A part of a repetition is its first words, joined by spaces.
+    A part of a repetition is its first words, joined by spaces. Nulls, repeated rows and
+    empty tables are as in ``mix``; texts without words come once for each whole repetition.
     """
     rows = _rows(docs, id_col, text_col, source_col, seed)
     plan = _plan(cut(rows.drop("row")), weights, max_epochs)
@@ -122,10 +123,11 @@ def mixed_copies(docs: DataFrame, weights: DataFrame | None = None, max_epochs:
     n = F.when(F.col("size") > 0, full).otherwise(F.col("whole"))
     copies = F.concat(F.array_repeat(F.lit(False), n.cast("int")), F.when(part, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
     out = _taken(rows, plan).select("row", "extra", F.explode(copies).alias("cut"))
+    row = F.col("row")
     words = F.expr(f"array_join(slice(regexp_extract_all(row.`{text_col}`, '{WORD.replace(chr(92), chr(92) * 2)}', 0), 1, cast(extra AS int)), ' ')")
     cols = []
     for c in docs.columns:
-        x = F.col(f"row.`{c}`")
+        x = row[c]
         if c == text_col:
             x = F.when(F.col("cut"), words).otherwise(x)
         elif c == "n_chars":

@@ -103,3 +103,26 @@ def test_language_sample_takes_an_id_once(spark, monkeypatch):
     monkeypatch.setattr(langid, "marks_of", lambda present, f=langid.marks_of: (seen.append(len(present)), f(present))[1])
     langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), landmarks=100)
     assert seen and seen[0] <= 29
+
+
+def test_language_fills_nulls(spark):
+    rows = [(i, f"the words of text {i} are these", "en", "a", 1) for i in range(40)] + [(50 + i, f"der die das und {i} nicht", "de", "a", 1) for i in range(40)]
+    rows += [(100, "the words are of these", None, "a", 1), (None, "der und das", None, None, None), (None, None, None, None, None), (102, " ", "en", "a", 1)]
+    got = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, DOC), "").where("doc_id IS NULL OR doc_id >= 100").collect()
+    assert sorted((str(r.doc_id), r.lang) for r in got) == [("100", "en"), ("None", "de")]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_columns_of_any_name(spark, tmp_path, name, stage):
+    odd = ["a.b", "my col", "_id", "_hash", "_kept", "_text", "row", "id", "h", "key", "s", "size", "hash", "text_hash", "lang_pred", "own_id"]
+    spark.createDataFrame([(1, "no such words in any of the texts of this small table")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, f"some text of its own {i} with words {i * 7} and more", "en", "a", 3) for i in range(8)] + [(None, "a text without an id", None, None, None)]
+    docs = spark.createDataFrame(rows, DOC)
+    docs = docs.select("*", *(F.lit(c).alias(c) for c in odd))
+    docs = docs.unionByName(docs.where("doc_id = 3"))
+    got = stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    # The source without a name is repeated three times, the other loses what that takes.
+    assert got.count() == {"simhash_dedup": 9, "mix_sources": 12}.get(name, 10)
+    assert {r["a.b"] for r in got.collect()} == {"a.b"}
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
