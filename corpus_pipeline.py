@@ -15,7 +15,10 @@ from isoflow.llm.common import fresh_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents without a language, null and empty texts and those without a letter; fills null languages in.
+
+    Repeated rows, null ids and further columns stay; an empty table stays empty.
+    """
     return langid.identified_documents(docs)
 
 
@@ -23,29 +26,33 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps one row of each group of near copies (Jaccard similarity 0.8 of five-word shingles).
 
     It is the one with the smallest id, nulls last, then the least MD5 of the text. Of rows
-    that repeat its id and text the least in the order of the columns stays.
+    that repeat its id and text the least in the order of the columns stays. Empty and null
+    texts are one group. Further columns stay if they can be ordered.
     """
     found = near_copies.near_copy_groups(docs)
     # The rows of a group are first reduced where they are read, so no group is large.
     best = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("b"))
-    best = best.select(F.col("b.id").alias("_id"), F.col("b.h").alias("_h"))
-    own = docs.withColumn("_hash", near_copies.text_hash("text"))
-    own = own.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_semi")
-    return own.groupBy("doc_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    best = best.select(F.col("b.id").alias("best_id"), F.col("b.h").alias("best_h"))
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), near_copies.text_hash("text").alias("h"))
+    own = own.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("h") == F.col("best_h")), "left_semi")
+    return own.groupBy("id", "h").agg(F.min("row").alias("row")).select("row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item; null ids and texts and repeated rows stay."""
     return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or cuts documents so that sources meet their target weights; a row for each repetition."""
+    """Repeats or cuts documents so that sources meet their target weights; a row for each repetition.
+
+    A null source is a source; texts without words come once for each whole repetition of theirs.
+    """
     return mixing.mixed_copies(docs, max_epochs=3.0, seed=42)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token ids as shards and returns a digest of each row read back."""
+    """Writes the token ids as shards and returns a digest of each row read back, null ids first; an empty table gives none."""
     return sstable.token_digests(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
