@@ -84,6 +84,26 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
     return rows.mapInArrow(run, "id long, h string, key long, fp long, n long, prefix array<long>")
 
 
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (s, key), sorted by s, whose s another row has; one row waits for the next batch."""
+    held: pa.RecordBatch | None = None
+    first_kept = False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b] if held is None else [held, b])
+        s = table.column(0).to_numpy()
+        same = s[1:] == s[:-1]
+        keep = np.append(same, False)
+        keep[1:] |= same
+        keep[0] |= first_kept
+        # Whether the last row is kept is known so far only if the one before it has its s.
+        yield from table.slice(0, len(s) - 1).filter(pa.array(keep[:-1])).combine_chunks().to_batches()
+        first_kept, held = bool(keep[-1]), table.slice(len(s) - 1).combine_chunks().to_batches()[0]
+    if held is not None and first_kept:
+        yield held
+
+
 def shingle_set(text: bytes | None, words: int) -> set[bytes]:
     tokens = (text or b"").lower().split()
     return {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
@@ -128,10 +148,12 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     near = cut(simhash_links(cut(of_fp), bits).unionByName(same).distinct())
     near = cut(verified(near, nodes, docs, text_col, words, similarity))
 
+    # Dealt once by shingle; most shingles of a prefix stand in one text only and go at once.
+    lists = nodes.select("key", F.explode("prefix").alias("s")).repartition("s").sortWithinPartitions("s", "key")
+    lists = cut(lists.select("s", "key").mapInArrow(repeated, "s long, key long"))
     found = connected_components(near)
-    linked = nodes.join(found, nodes.key == found.node, "left").select("key", "n", "prefix", F.coalesce("component", "key").alias("c"))
-    # Dealt once by shingle, for the choice of lists and for the lists themselves.
-    lists = linked.select("key", F.col("n").cast("int").alias("n"), "c", F.explode("prefix").alias("s")).repartition("s")
+    facts = nodes.select("key", F.col("n").cast("int").alias("n")).join(found, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("component", "key").alias("c"))
+    lists = lists.join(facts, "key")
     # Shingles of one group only are left out before pairs are made.
     mixed = lists.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
     lists = cut(lists.join(mixed, "s"))

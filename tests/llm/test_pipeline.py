@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,14 @@ def kept(rows):
     return sorted((str(b[3][0]), b[3][1]) for b in best.values())
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_repeated(size):
+    s = np.sort(np.random.default_rng(size).integers(0, 30, 50))
+    batches = [pa.RecordBatch.from_arrays([pa.array(s[a : a + size]), pa.array(np.arange(a, min(a + size, 50)))], names=["s", "key"]) for a in range(0, 50, size)]
+    got = [k for b in near_copies.repeated(iter(batches)) for k in b.column(1).to_pylist()]
+    assert got == [i for i in range(50) if (s == s[i]).sum() > 1]
+
+
 def test_groups_equal_brute_force(spark):
     texts = corpus()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
