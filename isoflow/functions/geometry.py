@@ -98,16 +98,21 @@ def gaussian(dist: Column, scale2: Column) -> Column:
     return F.when(scale2 > 0, F.exp(-dist * dist / (2 * scale2)))
 
 
+def places(coords: Column, width: int) -> Column:
+    """First places of the stretches of ``width`` atoms; none in a shorter chain."""
+    return F.when(F.size(coords) >= width, F.sequence(F.lit(0), F.size(coords) - width)).otherwise(F.array().cast("array<int>"))
+
+
 def backbone_torsions(coords: Column) -> Column:
     """psi1, phi2, psi2, .. of a backbone of N, CA, C triples."""
-    at = F.filter(F.sequence(F.lit(0), F.size(coords) - 4), lambda x: x % 3 != 1)
+    at = F.filter(places(coords, 4), lambda x: x % 3 != 1)
     return F.transform(at, lambda x: torsion(coords[x], coords[x + 1], coords[x + 2], coords[x + 3]))
 
 
 def alpha_angles(coords: Column) -> Column:
     """The thetas, then the torsions, of a chain of CA atoms."""
-    thetas = F.transform(F.sequence(F.lit(0), F.size(coords) - 3), lambda x: theta(coords[x], coords[x + 1], coords[x + 2]))
-    return F.concat(thetas, F.transform(F.sequence(F.lit(0), F.size(coords) - 4), lambda x: torsion(coords[x], coords[x + 1], coords[x + 2], coords[x + 3])))
+    thetas = F.transform(places(coords, 3), lambda x: theta(coords[x], coords[x + 1], coords[x + 2]))
+    return F.concat(thetas, F.transform(places(coords, 4), lambda x: torsion(coords[x], coords[x + 1], coords[x + 2], coords[x + 3])))
 
 
 def register_sql(spark: SparkSession) -> None:

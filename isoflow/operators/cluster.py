@@ -25,6 +25,8 @@ def kmeans(points: DataFrame, k: int, starts: int = 10, max_iter: int = 30, seed
     """(id, cluster) of (id, v): the best of several seeded runs by total distance, canonical labels."""
     if k < 2:
         raise ValueError("k must be 2 or more")
+    if points.isEmpty():
+        return points.select("id", F.lit(None).cast("int").alias("cluster"))
     p = points.select("id", array_to_vector("v").alias("features")).persist()
     runs = [KMeans(k=k, seed=seed + s, maxIter=max_iter).fit(p) for s in range(starts)]
     best = min(runs, key=lambda m: m.summary.trainingCost)
@@ -33,6 +35,8 @@ def kmeans(points: DataFrame, k: int, starts: int = 10, max_iter: int = 30, seed
 
 def gaussian_mixture(points: DataFrame, k: int, seed: int = 0, max_iter: int = 100) -> DataFrame:
     """(id, cluster, uncertainty): full-covariance mixture; uncertainty is 1 minus the largest posterior."""
+    if points.isEmpty():
+        return points.select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("uncertainty"))
     p = points.select("id", array_to_vector("v").alias("features")).persist()
     out = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(p).transform(p)
     out = out.select("id", F.col("prediction").alias("cluster"), (1 - F.array_max(vector_to_array("probability"))).alias("uncertainty"))

@@ -1,8 +1,9 @@
 """Exact k-nearest-neighbour joins over dense, sparse and rigid-body distances.
 
-Both sides are packed into blocks; every pair of blocks is a row that one task compares in
-numpy, keeping the nearest of each query; a window then keeps the nearest over all blocks.
-No side is broadcast or collected, and no pair leaves a task unless it is asked for.
+Both sides are packed into blocks. A task takes a block of queries and has the blocks of
+references pass by, one after another; it keeps the nearest of each query so far, and gives
+k rows for each query at the end. References of a checked size are broadcast, others go
+once to each block of queries.
 """
 
 from __future__ import annotations
@@ -12,31 +13,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .trajectory import kabsch
 
-BLOCK_ROWS = 1024
-#: Pairs of blocks are dealt to this many tasks at most; a task then compares several, one after another.
-MAX_TASKS = 20_000
+#: Rows of a block of queries at most, and of references; numbers in all references that are broadcast.
+QUERY_ROWS, REF_ROWS, BROADCAST_NUMBERS = 8192, 1024, 4_000_000
 
-
-def pack(df: DataFrame, blocks: int, name: str, cols: list[str]) -> DataFrame:
-    """(name_block, name): rows of ``df`` in blocks by the hash of their id; about BLOCK_ROWS in each."""
-    rows = F.struct("id", *cols)
-    return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(f"{name}_block")).agg(F.array_sort(F.collect_list(rows)).alias(name))
-
-
-def block_pairs(ref: DataFrame, query: DataFrame, cols: list[str], rows: int) -> DataFrame:
-    n_ref, n_query = ref.count(), query.count()
-    r, q = max(1, math.ceil(n_ref / rows)), max(1, math.ceil(n_query / rows))
-    refs, queries = pack(ref, r, "r", cols), pack(query, q, "q", cols)
-    # Each query block once for every reference block: an equi-join, dealt by both.
-    queries = queries.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(r - 1))))
-    return queries.join(refs, "r_block").select("q", "r").repartition(min(r * q, MAX_TASKS))
+Distance = Callable[[list, list], np.ndarray]
 
 
-Distance = Callable[[list, list], np.ndarray]
+def pack(df: DataFrame, blocks: int, cols: list[str]) -> DataFrame:
+    """(block, rows): rows of ``df`` in blocks by the hash of their id."""
+    rows = F.struct("id", *cols)
+    return df.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.array_sort(F.collect_list(rows)).alias("rows"))
 
 
 def nearest(d: np.ndarray, ref_ids: np.ndarray, n: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -48,44 +38,97 @@ def nearest(d: np.ndarray, ref_ids: np.ndarray, n: int | None) -> tuple[np.ndarr
     x = np.where(good, d, np.inf)
     cut = np.partition(x, n - 1, axis=1)[:, n - 1 : n]
     i, j = np.nonzero(good & (x <= cut))
-    o = np.lexsort((ref_ids[j], d[i, j], i))
-    i, j = i[o], j[o]
-    first = np.searchsorted(i, i)
-    keep = np.arange(len(i)) - first < n
+    keep = first_of_each(i, d[i, j], ref_ids[j], n)
     return i[keep], j[keep]
 
 
-def knn_join(ref: DataFrame, query: DataFrame | None, cols: list[str], distance: Distance, k: int | None, exclude: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def first_of_each(i: np.ndarray, d: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n first of each ``i`` by distance and then id, in that order."""
+    o = np.lexsort((ids, d, i))
+    own = i[o]
+    return o[np.arange(len(o)) - np.searchsorted(own, own) < n]
+
+
+def sides(ref: DataFrame, query: DataFrame, cols: list[str], size: Column, query_rows: int, ref_rows: int) -> DataFrame:
+    """(q_block, kind, rows): each block of queries (kind 0) and after it all blocks of references (kind 1), in one task."""
+    sizes = [F.count("*").alias("n"), F.sum(size).alias("numbers"), F.min(size).alias("low"), F.max(size).alias("high")]
+    r, q = ref.agg(*sizes).first(), query.agg(*sizes).first()
+    at_once = 2 * ref.sparkSession.sparkContext.defaultParallelism
+    n_q = max(1, math.ceil(q.n / query_rows), min(q.n // 32, at_once))
+    refs = pack(ref, max(1, math.ceil(r.n / ref_rows)), cols)
+    queries = pack(query, n_q, cols)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long")))
+    if (r.numbers or 0) <= BROADCAST_NUMBERS:
+        # All references in a few rows; each block of queries is one row and meets them where it is.
+        whole = refs.agg(F.collect_list("rows").alias("refs"))
+        both = queries.join(F.broadcast(whole), F.lit(True))
+        parts = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("rows"))), F.transform("refs", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("rows"))))
+        return both.select("block", F.explode(parts).alias("p")).select(F.col("block").alias("q_block"), "p.kind", "p.rows")
+    tagged = refs.select(every.alias("q_block"), F.lit(1).alias("kind"), "rows").unionByName(queries.select(F.col("block").alias("q_block"), F.lit(0).alias("kind"), "rows"))
+    return tagged.repartition(n_q, "q_block").sortWithinPartitions("q_block", "kind")
+
+
+def knn_join(ref: DataFrame, query: DataFrame | None, cols: list[str], distance: Distance, k: int | None, exclude: str, rows: int = REF_ROWS, query_rows: int = QUERY_ROWS, sound: Column | None = None, size: Column | None = None) -> DataFrame:
     """(src, dst, rank, dist) of the k nearest rows of ``ref`` for each row of ``query``.
 
-    Ranks start at 1; equal distances go by id. ``exclude``: "self" leaves the row of the
+    Ranks start at 1; equal distances go by id. ``exclude``: "self" leaves the rows of the
     same id out, "rank0" the nearest one whatever it is, "none" nothing. k None gives all
-    pairs with rank null (J5). Pairs whose distance is not a number are left out. If fewer
-    than k rows are left, all are returned.
+    pairs with rank null (J5). Rows with a null id and rows that are not ``sound``, as with
+    null or non-finite numbers, are left out on both sides, and so are pairs whose
+    distance is not a number. If fewer than k rows are left, all are returned. Rows that
+    repeat an id are points of their own: each has its ranks. Empty sides give no rows.
     """
     if exclude not in ("self", "rank0", "none"):
         raise ValueError(f"exclude: {exclude}")
     query = ref if query is None else query
-    skip = 0 if exclude == "none" else 1
-    need = None if k is None else k + skip
+    sound, size = F.lit(True) if sound is None else sound, F.size(cols[0]) if size is None else size
+    ref, query = (x.select("id", *cols).where(F.col("id").isNotNull() & sound) for x in (ref, query))
+    drop = 1 if exclude == "rank0" else 0
+    need = None if k is None else k + drop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, q, qi = None, None, np.zeros(0, dtype=np.int64)
+        best: list[np.ndarray] = []
+
+        def out(i: np.ndarray, ids: np.ndarray, d: np.ndarray, rank: np.ndarray | None) -> pa.RecordBatch:
+            ranks = pa.nulls(len(i), pa.int64()) if rank is None else pa.array(rank)
+            return pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ids), ranks, pa.array(d)], names=["src", "dst", "rank", "dist"])
+
+        def ranked() -> Iterator[pa.RecordBatch]:
+            if best and len(best[0]):
+                i, ids, d = best
+                rank = np.arange(len(i)) - np.searchsorted(i, i) + 1 - drop
+                yield out(*(x[rank > 0] for x in (i, ids, d)), rank[rank > 0])
+
         for b in batches:
-            for q, r in zip(b.column(0), b.column(1)):
-                q, r = q.values, r.values
-                qi, ri = q.field(0).to_numpy(zero_copy_only=False), r.field(0).to_numpy(zero_copy_only=False)
-                d = distance([q.field(c + 1) for c in range(len(cols))], [r.field(c + 1) for c in range(len(cols))])
+            for own, kind, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                x = packed.values
+                ids = x.field(0).to_numpy(zero_copy_only=False)
+                parts = [x.field(c + 1) for c in range(len(cols))]
+                if kind == 0:
+                    yield from ranked()
+                    block, q, qi, best = own, parts, ids, []
+                    continue
+                if own != block:
+                    continue  # no query fell into this block
+                d = distance(q, parts)
                 if exclude == "self":
-                    d = np.where(qi[:, None] == ri[None, :], np.nan, d)
-                i, j = nearest(d, ri, need)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ri[j]), pa.array(d[i, j])], names=["src", "dst", "dist"])
+                    d = np.where(qi[:, None] == ids[None, :], np.nan, d)
+                i, j = nearest(d, ids, need)
+                if need is None:
+                    yield out(i, ids[j], d[i, j], None)
+                    continue
+                new = [i, ids[j], d[i, j]]
+                best = [np.concatenate(p) for p in zip(best, new)] if best else new
+                keep = first_of_each(best[0], best[2], best[1], need)
+                best = [p[keep] for p in best]
+        yield from ranked()
+
+    return sides(ref, query, cols, size, query_rows, rows).mapInArrow(run, "src long, dst long, rank long, dist double")
 
-    pairs = block_pairs(ref, query, cols, rows).mapInArrow(run, "src long, dst long, dist double")
-    if k is None:
-        return pairs.select("src", "dst", F.lit(None).cast("long").alias("rank"), "dist")
-    drop = 1 if exclude == "rank0" else 0
-    rank = F.row_number().over(W.partitionBy("src").orderBy("dist", "dst")).cast("long") - drop
-    return pairs.withColumn("rank", rank).where((F.col("rank") >= 1) & (F.col("rank") <= k)).select("src", "dst", "rank", "dist")
+
+def finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
 def dense(x: list) -> np.ndarray:
@@ -136,18 +179,29 @@ def sparse_blocks(q: list, r: list) -> np.ndarray:
 
 
 def knn(ref: DataFrame, k: int | None, query: DataFrame | None = None, metric: str | Distance = "euclidean", exclude: str = "self") -> DataFrame:
-    """Dense vectors (id, v array<double>); metric "euclidean", "correlation" or a function of two blocks."""
+    """Dense vectors (id, v array<double>); metric "euclidean", "correlation" or a function of two blocks.
+
+    Null and empty vectors and those with null or non-finite components are left out;
+    vectors of unlike lengths raise an error in the task that meets them.
+    """
     distance = {"euclidean": euclidean_blocks, "correlation": correlation_blocks}.get(metric, metric)
-    return knn_join(ref, query, ["v"], distance, k, exclude)
+    return knn_join(ref, query, ["v"], distance, k, exclude, sound=(F.size("v") > 0) & F.forall("v", finite), size=F.size("v"))
 
 
 def knn_sparse(ref: DataFrame, k: int | None, query: DataFrame | None = None, exclude: str = "self") -> DataFrame:
-    """Sparse vectors (id, idx array<int>, val array<double>) under the Euclidean distance."""
-    return knn_join(ref, query, ["idx", "val"], sparse_blocks, k, exclude, rows=256)
+    """Sparse vectors (id, idx array<int>, val array<double>) under the Euclidean distance.
+
+    Rows whose two arrays differ in length or hold nulls or non-finite values are left out.
+    """
+    sound = (F.size("idx") == F.size("val")) & F.forall("idx", lambda x: x.isNotNull()) & F.forall("val", finite)
+    return knn_join(ref, query, ["idx", "val"], sparse_blocks, k, exclude, 256, 1024, sound, 2 * F.size("idx"))
 
 
 def knn_rmsd(ref: DataFrame, k: int | None, query: DataFrame | None = None, masses: list[float] | None = None, fit: bool = True, scale: float = 10.0, exclude: str = "self") -> DataFrame:
-    """Structures (id, coords array<array<double>>) under the RMSD of centred, optionally fitted, structures."""
+    """Structures (id, coords array<array<double>>) under the RMSD of centred, optionally fitted, structures.
+
+    Structures without atoms, with an atom of not three coordinates or with null or non-finite ones are left out.
+    """
     m = None if masses is None else np.asarray(masses, dtype=np.float64)
 
     def blocks(x: list) -> np.ndarray:
@@ -160,4 +214,5 @@ def knn_rmsd(ref: DataFrame, k: int | None, query: DataFrame | None = None, mass
         x, y = blocks(q), blocks(r)
         return kabsch(x, y, np.ones(x.shape[1]) if m is None else m, fit) * scale
 
-    return knn_join(ref, query, ["coords"], distance, k, exclude, rows=256)
+    sound = (F.size("coords") > 0) & F.forall("coords", lambda p: F.coalesce(F.size(p) == 3, F.lit(False)) & F.forall(p, finite))
+    return knn_join(ref, query, ["coords"], distance, k, exclude, 256, 256, sound, 3 * F.size("coords"))

@@ -21,7 +21,7 @@ def collect_matrix(edges: DataFrame, ids: list[int]) -> np.ndarray:
     at = {x: n for n, x in enumerate(ids)}
     a = np.zeros((len(ids), len(ids)))
     rows = edges.select("i", "j", "w").toPandas()
-    i, j = rows.i.map(at).to_numpy(), rows.j.map(at).to_numpy()
+    i, j = rows.i.map(at).to_numpy(dtype=np.int64), rows.j.map(at).to_numpy(dtype=np.int64)
     a[i, j] = rows.w
     a[j, i] = rows.w
     return a
@@ -29,6 +29,8 @@ def collect_matrix(edges: DataFrame, ids: list[int]) -> np.ndarray:
 
 def fix_signs(v: np.ndarray) -> np.ndarray:
     """Columns with a positive sum, or failing that a positive largest entry."""
+    if not v.size:
+        return v
     s = v.sum(axis=0)
     big = v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]
     return v * np.where(np.where(np.abs(s) > 1e-9, s, big) < 0, -1.0, 1.0)

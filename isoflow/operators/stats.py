@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geometry import gaussian
+from .trajectory import rekey
 
-#: Neighbour counts taken by default; those above the stored neighbours are left out.
-NEIGHBOUR_SET = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, 1024)
+#: Neighbour counts taken by default (fixed values); those above the stored neighbours are left out.
+NEIGHBOUR_SET = (2, 3, 4, 6, 8, 16, 32, 64, 128, 256, 512, 1024)
+#: Points of a windowed estimate that one task puts in order.
+WINDOW_ROWS = 100_000
 
 
 def kernel_sums(edges: DataFrame, sigma: float | None) -> DataFrame:
@@ -58,9 +61,15 @@ def pointwise_ratio(edges: DataFrame, ks: list[int]) -> DataFrame:
 
 def windowed_dimension(edges: DataFrame, ks: list[int], window: int) -> DataFrame:
     """(id, est): dimension over each trailing window of points by id; the first windows that are not full are left out."""
-    w = W.orderBy("id").rowsBetween(-(window - 1), 0)
-    q = pointwise_ratio(edges, ks).select("id", F.sum("q").over(w).alias("s"), F.count("*").over(w).alias("n"))
-    return q.where(F.col("n") == window).select("id", F.when(F.col("s") != 0, window / F.col("s")).otherwise(0.0).alias("est"))
+    q = rekey(pointwise_ratio(edges, ks).select("id", "q"), "id", "n")
+    # Each range of points has the last window - 1 points of the one before with it.
+    step = max(WINDOW_ROWS, window)
+    part = F.floor(F.col("n") / step)
+    both = F.when(F.col("n") % step >= step - (window - 1), F.array(part, part + 1)).otherwise(F.array(part))
+    w = W.partitionBy("part").orderBy("n").rowsBetween(-(window - 1), 0)
+    q = q.withColumn("part", F.explode(both)).select("id", "part", F.floor(F.col("n") / step).alias("own"), F.sum("q").over(w).alias("s"), F.count("*").over(w).alias("full"))
+    q = q.where((F.col("full") == window) & (F.col("part") == F.col("own")))
+    return q.select("id", F.when(F.col("s") != 0, window / F.col("s")).otherwise(0.0).alias("est"))
 
 
 def running_median(series: DataFrame, key: str, order: list[str], value: str, width: int) -> DataFrame:

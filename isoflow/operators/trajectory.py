@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geometry import let, minus, total
@@ -26,7 +27,7 @@ def summary(frames: DataFrame) -> DataFrame:
 
 
 def rekey(df: DataFrame, key: str = "frame", to: str = "frame") -> DataFrame:
-    """Numbers rows 0, 1, .. in the order of ``key``.
+    """Numbers rows 0, 1, .. in the order of ``key``, nulls first.
 
     Rows are counted by range first, so that the number is an offset and a place within a
     range, and no task orders all rows.
@@ -35,7 +36,7 @@ def rekey(df: DataFrame, key: str = "frame", to: str = "frame") -> DataFrame:
     cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
     part = F.lit(0)
     for c in sorted(set(cuts or [])):
-        part = part + (F.col(key) > F.lit(c)).cast("int")
+        part = part + F.coalesce(F.col(key) > F.lit(c), F.lit(False)).cast("int")
     d = df.withColumn("_part", part)
     sizes = d.groupBy("_part").count()
     before = F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
@@ -90,23 +91,31 @@ def contacts(frames: DataFrame, epsilon: float = 9.0, group1: list[int] | None =
 
     Feature i * |group2| + j is the pair of places i and j within the groups. ``scale``
     turns the unit of the coordinates into that of ``epsilon``; nanometres and Angstrom by
-    default. Pairs are made inside the row, so nothing is shuffled.
+    default. Pairs are made inside the row, so nothing is shuffled. A null frame has nulls.
     """
-    c = F.col("coords")
-    g1 = c if group1 is None else F.array(*(c[a] for a in group1))
-    g2 = c if group2 is None else F.array(*(c[a] for a in group2))
 
-    def near(p: Column, q: Column) -> Column:
-        d = [p[k] - q[k] for k in range(3)]
-        return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) * scale < epsilon
-
-    def row(p: Column, i: Column) -> Column:
-        hits = F.transform(F.col("g2"), lambda q, j: F.when(near(p, q), i * F.size("g2") + j))
-        return F.array_compact(hits)
-
-    d = frames.select("frame", g1.alias("g1"), g2.alias("g2"))
-    d = d.select("frame", F.flatten(F.transform("g1", row)).alias("idx"))
-    return d.select("frame", "idx", F.transform("idx", lambda _: F.lit(1.0)).alias("val"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for c in b.column(1):
+                p = None if c.values is None else c.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+                if p is None:
+                    found.append(None)
+                    continue
+                x, y = (p if g is None else p[g] for g in (group1, group2))
+                hits = []
+                # Blocks of the first group, so that large structures stay small in memory.
+                step = max(1, 2_000_000 // max(1, len(y)))
+                for a in range(0, len(x), step):
+                    g = x[a : a + step, None, :] - y[None, :, :]
+                    near = np.sqrt(np.einsum("ijk,ijk->ij", g, g)) * scale < epsilon
+                    hits.append(np.flatnonzero(near) + a * len(y))
+                found.append(np.concatenate(hits) if hits else np.zeros(0, dtype=np.int64))
+            idx = pa.array(found, pa.list_(pa.int32()))
+            ones = pa.array([None if f is None else np.ones(len(f)) for f in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), idx, ones], names=["frame", "idx", "val"])
+
+    return frames.select(F.col("frame").cast("long"), F.col("coords").cast("array<array<double>>")).mapInArrow(run, "frame long, idx array<int>, val array<double>")
 
 
 def kabsch(x: np.ndarray, y: np.ndarray, m: np.ndarray, fit: bool = True) -> np.ndarray:
@@ -134,14 +143,17 @@ def centred_blocks(coords: list, m: np.ndarray) -> np.ndarray:
 
 
 def rmsd_to(frames: DataFrame, reference: list[list[float]], masses: list[float] | None = None, fit: bool = True, scale: float = 10.0) -> DataFrame:
-    """(frame, time, rmsd) to one structure, both centred first."""
+    """(frame, time, rmsd) to one structure, both centred first (G8, G9); null for a null frame."""
     m = np.ones(len(reference)) if masses is None else np.asarray(masses, dtype=np.float64)
     ref = centred_blocks([reference], m)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
-                yield pd.DataFrame({"frame": p.frame, "time": p.time, "rmsd": kabsch(centred_blocks(list(p.coords), m), ref, m, fit)[:, 0] * scale})
+                rmsd, there = np.full(len(p), np.nan), p.coords.notna().to_numpy()
+                if there.any():
+                    rmsd[there] = kabsch(centred_blocks(list(p.coords[there]), m), ref, m, fit)[:, 0] * scale
+                yield pd.DataFrame({"frame": p.frame, "time": p.time, "rmsd": pd.Series(rmsd, index=p.index).where(there, None)})
 
     return frames.select("frame", F.col("time").cast("double"), "coords").mapInPandas(run, "frame long, time double, rmsd double")
 

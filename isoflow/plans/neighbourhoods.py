@@ -39,10 +39,21 @@ def knn_euclidean(spark, sf):
     return measured(edges(spark, sf))
 
 
+UNSOUND = "vec AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 <> 7 AND vec_id % 50 <> 8)"
+
+
 def ranked_sql(vec: str, dist: str, pairs: str = "FROM vec a JOIN vec b ON a.id <> b.id", keep: str = f"rank <= {K}") -> str:
     return f"WITH {vec}, knn AS (SELECT a.id AS src, b.id AS dst, {dist} AS dist, row_number() OVER (PARTITION BY a.id ORDER BY {dist}, b.id) AS rank {pairs} QUALIFY {keep}) "
 
 
+@query(ranked_sql(UNSOUND, "list_distance(a.v, b.v)") + MEASURED)
+def knn_unsound(spark, sf):
+    """Vectors of which some have a null component and some one that is not a number: they neither have neighbours nor are one."""
+    bad = F.when(F.col("id") % 50 == 7, F.lit(None)).otherwise(F.lit(float("nan")))
+    v = F.when((F.col("id") % 50).isin(7, 8), F.transform("v", lambda x, i: F.when(i == 3, bad).otherwise(x))).otherwise(F.col("v"))
+    return measured(nn.knn(vectors(spark, sf).withColumn("v", v), K))
+
+
 @query(ranked_sql("vec AS (SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x - list_avg(embedding::DOUBLE[])) AS v FROM embeddings)", "sqrt(greatest(0.0, (1 - list_cosine_similarity(a.v, b.v)) / 2))") + MEASURED)
 def knn_correlation(spark, sf):
     return measured(nn.knn(vectors(spark, sf), K, metric="correlation"))
@@ -186,6 +197,15 @@ def dimension(spark, sf):
     return stats.dimension(edges(spark, sf), stored=K).select("k", r6("est").alias("est"))
 
 
+WIDE = TERMS.replace(f"rank <= {K}\n", "rank <= 40\n").replace("[2, 3, 4, 6, 8]", "[2, 3, 4, 6, 8, 16, 32]")
+
+
+@query(f"WITH {WIDE} SELECT k, round(CASE WHEN sum(num) <> 0 THEN sum(den) / sum(num) ELSE 0 END, 6) + 0.0 AS est FROM t GROUP BY k")
+def dimension_forty(spark, sf):
+    """The default neighbour counts up to 40 neighbours."""
+    return stats.dimension(nn.knn(vectors(spark, sf), 40), stored=40).select("k", r6("est").alias("est"))
+
+
 @query(f"WITH {TERMS}, q AS (SELECT id, sum(num) / sum(den) AS q FROM t GROUP BY id), w AS (SELECT id, sum(q) OVER w AS s, count(*) OVER w AS n FROM q WINDOW w AS (ORDER BY id ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)) SELECT id, round(CASE WHEN s <> 0 THEN 25 / s ELSE 0 END, 5) + 0.0 AS est FROM w WHERE n = 25")
 def dimension_windowed(spark, sf):
     return stats.windowed_dimension(edges(spark, sf), [2, 3, 4, 6, 8], 25).select("id", (F.round("est", 5) + 0.0).alias("est"))

@@ -149,3 +149,53 @@ def test_smoothing_keeps_a_pure_wave(spark):
     df = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate(v)], "frame long, v array<double>")
     got = np.array([r.v[0] for r in tr.smooth_angles(df).orderBy("frame").collect()])
     assert np.allclose(np.exp(1j * got), np.exp(1j * v), atol=1e-9)
+
+
+@pytest.mark.parametrize("numbers", [0, nn.BROADCAST_NUMBERS])
+def test_unsound_rows_and_repeated_ids(spark, monkeypatch, numbers):
+    monkeypatch.setattr(nn, "BROADCAST_NUMBERS", numbers)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.random(2).tolist()) for i in range(40)] + [(3, [0.5, 0.1]), (None, [1.0, 1.0]), (100, None), (101, []), (102, [1.0, None]), (103, [float("nan"), 1.0]), (104, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    good = [(i, np.array(v)) for i, v in rows[:41]]
+    got = nn.knn(df, 3).collect()
+    want = []
+    for i, v in good:
+        near = sorted((np.linalg.norm(v - w), j) for j, w in good if j != i)[:3]
+        want += [(i, j, r + 1, round(float(d), 6)) for r, (d, j) in enumerate(near)]
+    assert sorted((r.src, r.dst, r["rank"], round(r.dist, 6)) for r in got) == sorted(want)
+    assert nn.knn(df.where("id > 99"), 3).count() == 0 and nn.knn(df.limit(0), 3).count() == 0
+    assert nn.knn(df, None, exclude="none").count() == 41 * 41
+
+
+def test_rekey_and_windows(spark, monkeypatch):
+    df = spark.createDataFrame([(None, "a"), (3, "b"), (3, "c"), (9, "d")], "frame long, x string")
+    assert [r.frame for r in tr.rekey(df.select("frame", "x")).orderBy("frame").collect()] == [0, 1, 2, 3]
+    rng = np.random.default_rng(2)
+    edges = spark.createDataFrame([(i, i + r, r, float(d)) for i in range(50) for r, d in enumerate(np.sort(rng.random(4)) + 1, 1)], "src long, dst long, rank long, dist double")
+    want = {r.id: r.est for r in stats.windowed_dimension(edges, [2, 3, 4], 5).collect()}
+    assert sorted(want) == list(range(4, 50))
+    monkeypatch.setattr(stats, "WINDOW_ROWS", 7)
+    got = {r.id: r.est for r in stats.windowed_dimension(edges, [2, 3, 4], 5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_short_chains_null_frames_and_groups(spark):
+    rows = [(0, [[0.0, 0.0, 0.0], [0.1, 0.0, 0.0]]), (1, None), (2, [[0.0, 0.0, 0.0], [0.1, 0.0, 0.0], [0.5, 0.5, 0.0], [2.0, 0.0, 0.0]])]
+    df = spark.createDataFrame(rows, "frame long, coords array<array<double>>")
+    assert [len(r.a) for r in df.where("frame <> 1").orderBy("frame").select(geo.alpha_angles(F.col("coords")).alias("a")).collect()] == [0, 3]
+    assert [len(r.a) for r in df.where("frame <> 1").orderBy("frame").select(geo.backbone_torsions(F.col("coords")).alias("a")).collect()] == [0, 1]
+    got = {r.frame: r.idx for r in tr.contacts(df, epsilon=9.0).collect()}
+    assert got == {0: [0, 1, 2, 3], 1: None, 2: [0, 1, 2, 4, 5, 6, 8, 9, 10, 15]}
+    assert {r.frame: r.idx for r in tr.contacts(df, 9.0, [0, 1], [1]).collect()} == {0: [0, 1], 1: None, 2: [0, 1]}
+    timed = df.withColumn("time", F.lit(0.0)).where("frame < 2")
+    assert [(r.frame, r.rmsd) for r in tr.rmsd_to(timed, rows[0][1]).orderBy("frame").collect()] == [(0, 0.0), (1, None)]
+
+
+def test_empty_tables(spark):
+    points = spark.createDataFrame([], "id long, v array<double>")
+    assert cluster.kmeans(points, 2).count() == 0 and cluster.gaussian_mixture(points, 2).count() == 0
+    edges = spark.createDataFrame([], "i long, j long, w double")
+    assert [x.count() for x in spectral.top_eigs(edges, 2)] == [0, 0]
+    graph = edges.withColumnRenamed("w", "d")
+    assert [x.count() for x in spectral.classical_scaling(graph)] == [0, 0] and spectral.bisect(spark, graph).count() == 0
