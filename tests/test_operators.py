@@ -199,3 +199,17 @@ def test_empty_tables(spark):
     assert [x.count() for x in spectral.top_eigs(edges, 2)] == [0, 0]
     graph = edges.withColumnRenamed("w", "d")
     assert [x.count() for x in spectral.classical_scaling(graph)] == [0, 0] and spectral.bisect(spark, graph).count() == 0
+
+
+def test_block_method_gives_the_vectors(spark):
+    x = np.random.default_rng(8).standard_normal((30, 2))
+    own = g.symmetric_graph(nn.knn(vectors(spark, x), 6))
+    a = g.normalised(g.local_affinity(own, g.local_sigma(own, 3))).persist()
+    _, dense = spectral.top_eigs(a, 2)
+    nodes = a.select(F.col("i").alias("id")).union(a.select("j")).distinct()
+    values, vecs = spectral.subspace_eigs(a, nodes, 2, 60, 1)
+    assert all(r.converged for r in values.collect())
+    want, got = ({(r.id, r.k): r.value for r in d.collect()} for d in (dense, vecs))
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-6 for p in want)
+    with pytest.raises(RuntimeError):
+        spectral.subspace_eigs(a, nodes, 2, 1, 1)
