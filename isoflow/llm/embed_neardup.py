@@ -189,22 +189,31 @@ def vector_links(nodes: DataFrame, cosine: float, dim: int, n: int, seed: int =
                 lists = filters_of(codes, unit_rows(matrix(part.column(1))))
                 size = [len(x) for x in lists]
                 at = pa.array(np.repeat(np.arange(part.num_rows), size))
-                whole = pa.array(lists, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(lists)), *(c.take(at) for c in part.columns), whole.take(at)], names=["filter", "node", "vector", "copies", "filters"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), *(c.take(at) for c in part.columns)], names=["filter", "node", "vector", "copies"])
 
     kind = nodes.schema["vector"].dataType.simpleString()
-    rows = nodes.select("node", "vector", "copies").mapInArrow(assign, f"filter long, node long, vector {kind}, copies long, filters array<bigint>")
+    rows = nodes.select("node", "vector", "copies").mapInArrow(assign, f"filter long, node long, vector {kind}, copies long")
     dealt = deal_cells(rows, ["filter"], "node", BUCKET_ROWS)
     group = ["filter", *CELL]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = [ProductCode(*c) for c in sent.value]
+        known: dict[int, np.ndarray] = {}
+
+        def lists_of(node: np.ndarray, unit: np.ndarray) -> list[np.ndarray]:
+            """Filters of linked rows, listed anew, as they would be most of each dealt row."""
+            if len(known) + len(node) > 50_000:
+                known.clear()
+            new = np.array([i for i, x in enumerate(node.tolist()) if x not in known], dtype=np.int64)
+            for at in range(0, len(new), 2048):
+                some = new[at : at + 2048]
+                known.update(zip(node[some].tolist(), filters_of(codes, unit[some])))
+            return [known[x] for x in node.tolist()]
+
         for table, starts in whole_groups(batches, group):
             rows = table.num_rows
             unit = unit_rows(matrix(table.column("vector")))
             own, node, copies, side, a, b = (table.column(c).to_numpy() for c in ("filter", "node", "copies", "side", *CELL))
-            filters = table.column("filters").combine_chunks()
             ends = np.append(starts[1:], rows)
             us, vs, small = [], [], ends - starts <= 64
             # Small groups together, large ones by matrix products.
@@ -221,7 +230,7 @@ def vector_links(nodes: DataFrame, cosine: float, dim: int, n: int, seed: int =
                     vs.append(j[ok])
                 i, j = np.concatenate(us or [at[:0]]), np.concatenate(vs or [at[:0]])
                 used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-                lists = [x.values.to_numpy() for x in filters.take(pa.array(used))] if len(used) else []
+                lists = lists_of(node[used], unit[used])
                 ok = first_shared(lists, back[: len(i)], back[len(i) :], own[i]) if len(used) else np.zeros(0, dtype=bool)
                 us, vs = [i[ok]], [j[ok]]
             count = np.zeros(rows, dtype=np.int64)
@@ -232,7 +241,7 @@ def vector_links(nodes: DataFrame, cosine: float, dim: int, n: int, seed: int =
                 if near.any():
                     hit = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
                     near = near[np.ix_(hit, hit)]
-                    near &= first_shared_block([x.values.to_numpy() for x in filters.slice(s, e - s).take(pa.array(hit))], own[s])
+                    near &= first_shared_block(lists_of(node[s:e][hit], unit[s:e][hit]), own[s])
                     w = copies[s:e][hit]
                     count[s + hit] += near @ w + near.T @ w
                     i, j = np.nonzero(near)
