@@ -4,8 +4,10 @@ SimHash at a few bits links most copies cheaply, but pairs at a Jaccard similari
 differ in up to 14 of 64 bits, and a pigeonhole over so many compares a large part of all
 pairs. So each text's shingles are put in one order, rare ones first: two sets of
 similarity t share one of the first n - ceil(t n) + 1 shingles of each. The pairs that
-share one and are not linked yet are candidates too. Every candidate, of either kind, is
-compared on the texts before it is a link.
+share one and are not linked yet are candidates too. Candidates of short lists are compared on
+the texts, pair by pair. The texts of a longer list, as a large group of copies has, are
+compared where they meet, by their sets of 64-bit shingle hashes, and give a forest of links
+there; so no list is written as all its pairs.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .cells import CELL, deal_cells, whole_groups
 from .common import cut
-from .components import connected_components
+from .components import connected_components, local_roots
 from .simhash import majority, shingle_hashes, simhash_links
 
 #: About so many rows show which shingles are common, and so many common ones are kept. They order shingles and never decide what is linked.
 SAMPLE_ROWS, COMMON = 10_000, 200_000
 #: So many hashes of texts to compare are broadcast; beyond that the texts are shuffled to them.
 BROADCAST_ROWS = 500_000
+#: Texts of a shingle that are written as pairs; rows of a longer list that one task compares at once.
+LIST_ROWS, CELL_ROWS = 16, 512
 
 
 def text_hash(text_col: str):
@@ -109,6 +114,55 @@ def shingle_set(text: bytes | None, words: int) -> set[bytes]:
     return {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
 
 
+def texts_of(keys: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, t): one text for each key, however often it is repeated."""
+    needed = cut(keys.join(nodes.select("key", "h"), "key"))
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    return docs.select(text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("t")).join(needed, "h").groupBy("key").agg(F.min("t").alias("t"))
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of the sets with the Jaccard similarity."""
+    n = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        x, y = np.searchsorted(column, [a, a + 2048])
+        part = np.zeros((len(sets), 2048), dtype=np.float32)
+        part[row[x:y], column[x:y] - a] = 1
+        both += part @ part.T
+    return np.nonzero(np.triu(both >= similarity * (n[:, None] + n[None, :] - both) - 1e-6, 1))
+
+
+def list_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect the texts of each list of ``lists(s, key)`` as all its pairs of that similarity would."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in as_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], names=["key", "hashes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["s", *CELL]):
+            for a, b in zip(starts, [*starts[1:], table.num_rows]):
+                if b - a < 2:
+                    continue
+                own = table.column("hashes").slice(a, b - a).combine_chunks()
+                flat, ends = own.flatten().to_numpy(), np.cumsum(own.value_lengths().to_numpy())
+                root = local_roots(b - a, *similar(np.split(flat, ends[:-1]), similarity))
+                x = np.flatnonzero(root != np.arange(b - a))
+                key = table.column("key").to_numpy()[a:b]
+                yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[root[x]])], names=["u", "v"])
+
+    sets = texts_of(lists.select("key").distinct(), nodes, docs, text_col).mapInArrow(hashed, "key long, hashes array<long>")
+    return deal_cells(lists.select("s", "key").join(cut(sets), "key"), ["s"], "key", CELL_ROWS).mapInArrow(compare, "u long, v long")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes whose shingles have the Jaccard similarity, compared on the texts."""
 
@@ -122,12 +176,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
 
-    needed = pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct()
-    needed = cut(needed.join(nodes.select("key", "h"), "key"))
-    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    # One text for each node, however often it is repeated.
-    texts = docs.select(text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("t")).join(needed, "h").groupBy("key").agg(F.min("t").alias("t"))
-    texts = cut(texts)
+    texts = cut(texts_of(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), nodes, docs, text_col))
     both = pairs.join(texts.select(F.col("key").alias("u"), F.col("t").alias("x")), "u").join(texts.select(F.col("key").alias("v"), F.col("t").alias("y")), "v")
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
@@ -157,11 +206,15 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Shingles of one group only are left out before pairs are made.
     mixed = lists.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("s")
     lists = cut(lists.join(mixed, "s"))
-    u, v = lists.alias("u"), lists.alias("v")
+    long = cut(lists.groupBy("s").count().where(F.col("count") > LIST_ROWS).select("s"))
+    short = lists.join(long, "s", "left_anti")
+    u, v = short.alias("u"), short.alias("v")
     fits = (F.col("u.s") == F.col("v.s")) & (F.col("u.key") < F.col("v.key")) & (F.col("u.c") != F.col("v.c"))
     fits &= F.least("u.n", "v.n") >= similarity * F.greatest("u.n", "v.n") - 1e-9
     rest = cut(u.join(v, fits).select(F.col("u.key").alias("u"), F.col("v.key").alias("v")).distinct())
     rest = cut(verified(rest, nodes, docs, text_col, words, similarity))
+    if not long.isEmpty():
+        rest = rest.unionByName(cut(list_links(lists.join(long, "s"), nodes, docs, text_col, words, similarity).distinct()))
 
     found = connected_components(near.unionByName(rest))
     return rows.select("id", "h", "key").join(found, rows.key == found.node, "left").select("id", "h", F.coalesce("component", "key").alias("group"))

@@ -72,7 +72,10 @@ def test_repeated(size):
     assert got == [i for i in range(50) if (s == s[i]).sum() > 1]
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("longest, cell", [(near_copies.LIST_ROWS, near_copies.CELL_ROWS), (1, 3)])
+def test_groups_equal_brute_force(spark, monkeypatch, longest, cell):
+    monkeypatch.setattr(near_copies, "LIST_ROWS", longest)
+    monkeypatch.setattr(near_copies, "CELL_ROWS", cell)
     texts = corpus()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.id: r.group for r in near_copies.near_copy_groups(df).collect()}
@@ -135,3 +138,11 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path, name, stage):
     assert got.count() == {"simhash_dedup": 9, "mix_sources": 12}.get(name, 10)
     assert {r["a.b"] for r in got.collect()} == {"a.b"}
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 30, 25)) for _ in range(40)] + [np.array([99]), np.array([99]), np.arange(1000, 4000), np.arange(1100, 4000)]
+    i, j = near_copies.similar(sets, 0.8)
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if jaccard(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8}
+    assert set(zip(i.tolist(), j.tolist())) == want and (40, 41) in want
