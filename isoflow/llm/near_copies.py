@@ -30,7 +30,7 @@ SAMPLE_ROWS, COMMON = 10_000, 200_000
 #: So many hashes of texts to compare are broadcast; beyond that the texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 #: Texts of a shingle that are written as pairs; rows of a longer list that one task compares at once.
-LIST_ROWS, CELL_ROWS = 16, 512
+LIST_ROWS, CELL_ROWS = 32, 512
 
 
 def text_hash(text_col: str):
