@@ -16,13 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``; where that is unset, as in
-    tests on one machine, a temporary folder is taken.
+    tests on one machine, a temporary folder is taken; elsewhere that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="isoflow-"))
     return sc.getCheckpointDir().rstrip("/")
 
