@@ -4,8 +4,9 @@ SimHash at a few bits links most copies cheaply, but pairs at a Jaccard similari
 differ in up to 14 of 64 bits, and a pigeonhole over so many compares a large part of all
 pairs. So each text's shingles are put in one order, rare ones first: two sets of
 similarity t share one of the first n - ceil(t n) + 1 shingles of each. The pairs that
-share one and are not linked yet are candidates too. Candidates of short lists are compared on
-the texts, pair by pair. The texts of a longer list, as a large group of copies has, are
+share one and are not linked yet are candidates too. Candidates of short lists whose parity
+bitmaps show that they are too far apart go, and the rest are compared on the texts, pair by
+pair. The texts of a longer list, as a large group of copies has, are
 compared where they meet, by their sets of 64-bit shingle hashes, and give a forest of links
 there; so no list is written as all its pairs.
 """
@@ -62,14 +63,29 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
+def parity_bitmap(own: np.ndarray) -> bytes:
+    """Bit i says whether an odd number of the distinct hashes is i modulo its length, a power of two from 64 on that is n to 2n."""
+    m = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of hashes that only one of two sets has, from their bitmaps: each such hash turns one bit."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    short = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def features(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(id, h, key, fp, n, prefix) for every row: hashes of the text and of its set of shingles, SimHash, size of the set and its rarest shingles."""
+    """(id, h, key, fp, n, parity, prefix) for every row: hashes of the text and of its set of shingles, SimHash, size of the set, its bitmap and its rarest shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = sent.value
         for b in batches:
-            keys, fps, sizes, prefixes = [], [], [], []
+            keys, fps, sizes, parities, prefixes = [], [], [], [], []
             for t in as_bytes(b.column(2)):
                 hashes = shingle_hashes(t.as_py(), words)
                 own = np.unique(hashes)
@@ -81,12 +97,13 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
                 keys.append(xxhash.xxh64_intdigest(own.tobytes()))
                 fps.append(majority(hashes))
                 sizes.append(len(own))
+                parities.append(parity_bitmap(own))
                 prefixes.append(own[first].view(np.int64))
             longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, fps)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "h", "key", "fp", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "h", "key", "fp", "n", "parity", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, h string, key long, fp long, n long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, h string, key long, fp long, n long, parity binary, prefix array<long>")
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +180,22 @@ def list_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: st
     return deal_cells(lists.select("s", "key").join(cut(sets), "key"), ["s"], "key", CELL_ROWS).mapInArrow(compare, "u long, v long")
 
 
+def close_enough(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose bitmaps allow the Jaccard similarity; no pair that has it is left out."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = share * b.column(4).to_numpy() + 1e-6
+            keep = pa.array([least_difference(x.as_py(), y.as_py()) <= z for x, y, z in zip(b.column(2), b.column(3), most)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
+
+    x = nodes.select(F.col("key").alias("u"), F.col("parity").alias("x"), F.col("n").alias("a"))
+    y = nodes.select(F.col("key").alias("v"), F.col("parity").alias("y"), F.col("n").alias("b"))
+    both = pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y", (F.col("a") + F.col("b")).alias("n"))
+    return both.mapInArrow(run, "u long, v long")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes whose shingles have the Jaccard similarity, compared on the texts."""
 
@@ -191,7 +224,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     paired. Sets are told apart by 64-bit hashes.
     """
     rows = cut(features(docs, id_col, text_col, words, similarity))
-    nodes = cut(rows.groupBy("key").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    nodes = cut(rows.groupBy("key").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")))
     of_fp = nodes.groupBy("fp").agg(F.min("key").alias("node"))
     same = nodes.join(of_fp, "fp").where("key <> node").select(F.col("key").alias("u"), F.col("node").alias("v"))
     near = cut(simhash_links(cut(of_fp), bits).unionByName(same).distinct())
@@ -211,7 +244,8 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     u, v = short.alias("u"), short.alias("v")
     fits = (F.col("u.s") == F.col("v.s")) & (F.col("u.key") < F.col("v.key")) & (F.col("u.c") != F.col("v.c"))
     fits &= F.least("u.n", "v.n") >= similarity * F.greatest("u.n", "v.n") - 1e-9
-    rest = cut(u.join(v, fits).select(F.col("u.key").alias("u"), F.col("v.key").alias("v")).distinct())
+    rest = u.join(v, fits).select(F.col("u.key").alias("u"), F.col("v.key").alias("v")).distinct()
+    rest = cut(close_enough(rest, nodes, similarity))
     rest = cut(verified(rest, nodes, docs, text_col, words, similarity))
     if not long.isEmpty():
         rest = rest.unionByName(cut(list_links(lists.join(long, "s"), nodes, docs, text_col, words, similarity).distinct()))

@@ -72,6 +72,16 @@ def test_repeated(size):
     assert got == [i for i in range(50) if (s == s[i]).sum() > 1]
 
 
+def test_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(500):
+        x = np.unique(rng.integers(0, 2**63, rng.integers(0, 400)).astype(np.uint64))
+        shared = rng.permutation(x)[: rng.integers(0, len(x) + 1)]
+        y = np.unique(np.append(shared, rng.integers(0, 2**63, rng.integers(0, 200)).astype(np.uint64)))
+        found = near_copies.least_difference(near_copies.parity_bitmap(x), near_copies.parity_bitmap(y))
+        assert found <= len(np.setxor1d(x, y))
+
+
 @pytest.mark.parametrize("longest, cell", [(near_copies.LIST_ROWS, near_copies.CELL_ROWS), (1, 3)])
 def test_groups_equal_brute_force(spark, monkeypatch, longest, cell):
     monkeypatch.setattr(near_copies, "LIST_ROWS", longest)
