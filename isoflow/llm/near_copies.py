@@ -32,6 +32,8 @@ SAMPLE_ROWS, COMMON = 10_000, 200_000
 BROADCAST_ROWS = 500_000
 #: Texts of a shingle that are written as pairs; rows of a longer list that one task compares at once.
 LIST_ROWS, CELL_ROWS = 32, 512
+#: Sets of shingles that a task remembers to have written; forgotten ones are written again and dropped later.
+WRITTEN = 1_000_000
 
 
 def text_hash(text_col: str):
@@ -79,12 +81,18 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(id, h, key, fp, n, parity, prefix) for every row: hashes of the text and of its set of shingles, SimHash, size of the set, its bitmap and its rarest shingles."""
+    """(id, h, key, fp, n, parity, prefix) for every row: hashes of the text and of its set of shingles, SimHash, size of the set, its bitmap and its rarest shingles.
+
+    The shingles are null where the task has written those of the set before.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = sent.value
+        written: set[int] = set()
         for b in batches:
+            if len(written) > WRITTEN:
+                written.clear()
             keys, fps, sizes, parities, prefixes = [], [], [], [], []
             for t in as_bytes(b.column(2)):
                 hashes = shingle_hashes(t.as_py(), words)
@@ -93,11 +101,15 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
                 if len(common):
                     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
                     seen = np.where(common[at] == own, counts[at], 0)
-                first = np.lexsort((own, seen))[: prefix_length(len(own), similarity)]
                 keys.append(xxhash.xxh64_intdigest(own.tobytes()))
                 fps.append(majority(hashes))
                 sizes.append(len(own))
                 parities.append(parity_bitmap(own))
+                if keys[-1] in written:
+                    prefixes.append(None)
+                    continue
+                written.add(keys[-1])
+                first = np.lexsort((own, seen))[: prefix_length(len(own), similarity)]
                 prefixes.append(own[first].view(np.int64))
             longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (keys, fps)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "h", "key", "fp", "n", "parity", "prefix"])
@@ -107,14 +119,17 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (s, key), sorted by s, whose s another row has; one row waits for the next batch."""
+    """The unlike rows (s, key), sorted, whose s another one has; one row waits for the next batch."""
     held: pa.RecordBatch | None = None
     first_kept = False
     for b in batches:
         if not b.num_rows:
             continue
         table = pa.Table.from_batches([b] if held is None else [held, b])
-        s = table.column(0).to_numpy()
+        s, key = (table.column(c).to_numpy() for c in (0, 1))
+        new = np.append(True, (s[1:] != s[:-1]) | (key[1:] != key[:-1]))
+        if not new.all():
+            table, s = table.filter(pa.array(new)), s[new]
         same = s[1:] == s[:-1]
         keep = np.append(same, False)
         keep[1:] |= same
@@ -224,14 +239,14 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     paired. Sets are told apart by 64-bit hashes.
     """
     rows = cut(features(docs, id_col, text_col, words, similarity))
-    nodes = cut(rows.groupBy("key").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")))
+    nodes = cut(rows.groupBy("key").agg(F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("parity").alias("parity")))
     of_fp = nodes.groupBy("fp").agg(F.min("key").alias("node"))
     same = nodes.join(of_fp, "fp").where("key <> node").select(F.col("key").alias("u"), F.col("node").alias("v"))
     near = cut(simhash_links(cut(of_fp), bits).unionByName(same).distinct())
     near = cut(verified(near, nodes, docs, text_col, words, similarity))
 
     # Dealt once by shingle; most shingles of a prefix stand in one text only and go at once.
-    lists = nodes.select("key", F.explode("prefix").alias("s")).repartition("s").sortWithinPartitions("s", "key")
+    lists = rows.select("key", F.explode("prefix").alias("s")).repartition("s").sortWithinPartitions("s", "key")
     lists = cut(lists.select("s", "key").mapInArrow(repeated, "s long, key long"))
     found = connected_components(near)
     facts = nodes.select("key", F.col("n").cast("int").alias("n")).join(found, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("component", "key").alias("c"))

@@ -72,6 +72,14 @@ def test_repeated(size):
     assert got == [i for i in range(50) if (s == s[i]).sum() > 1]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 50])
+def test_repeated_rows_count_once(size):
+    s, key = np.array([1, 1, 1, 2, 2, 3, 3, 3, 4, 5, 5]), np.array([7, 7, 7, 1, 2, 4, 4, 5, 6, 8, 8])
+    batches = [pa.RecordBatch.from_arrays([pa.array(s[a : a + size]), pa.array(key[a : a + size])], names=["s", "key"]) for a in range(0, len(s), size)]
+    got = [tuple(r.values()) for b in near_copies.repeated(iter(batches)) for r in b.to_pylist()]
+    assert got == [(2, 1), (2, 2), (3, 4), (3, 5)]
+
+
 def test_bitmaps_never_exceed_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(500):
