@@ -7,7 +7,7 @@ similarity t share one of the first n - ceil(t n) + 1 shingles of each. The pair
 share one and are not linked yet are candidates too. Candidates of short lists whose parity
 bitmaps show that they are too far apart go, and the rest are compared on the texts, pair by
 pair. The texts of a longer list, as a large group of copies has, are
-compared where they meet, by their sets of 64-bit shingle hashes, and give a forest of links
+thinned out by the bitmaps too and compared where they meet, by their sets of 64-bit shingle hashes, and give a forest of links
 there; so no list is written as all its pairs.
 """
 
@@ -171,6 +171,42 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.n
     return np.nonzero(np.triu(both >= similarity * (n[:, None] + n[None, :] - both) - 1e-6, 1))
 
 
+def partnered(n: np.ndarray, group: np.ndarray, parity: list[bytes], similarity: float) -> np.ndarray:
+    """Whether a set may have the similarity with another one of another group, by sizes and bitmaps."""
+    share = (1 - similarity) / (1 + similarity)
+    words = np.array([len(p) // 8 for p in parity])
+    found = np.zeros(len(n), dtype=bool)
+    # Sets of such a similarity have bitmaps of one length or of lengths one doubling apart.
+    for w in np.unique(words):
+        at = np.flatnonzero((words == w) | (words == 2 * w))
+        own = np.stack([np.bitwise_xor.reduce(np.frombuffer(parity[i], dtype=np.uint64).reshape(-1, w), axis=0) for i in at])
+        for k in np.flatnonzero(words[at] == w):
+            i = at[k]
+            fits = (group[at] != group[i]) & (np.minimum(n[at], n[i]) >= similarity * np.maximum(n[at], n[i]) - 1e-9)
+            if not fits.any():
+                continue
+            off = np.bitwise_count(own[fits] ^ own[k]).sum(axis=1, dtype=np.int64)
+            hit = at[fits][off <= share * (n[at][fits] + n[i]) + 1e-6]
+            found[hit] = True
+            found[i] |= len(hit) > 0
+    return found
+
+
+def possible(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The rows (s, key) of ``lists(s, key, n, c)`` that may link with one of another component in their list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, ["s", *CELL]):
+            n, c = table.column("n").to_numpy(), table.column("c").to_numpy()
+            parity = table.column("parity").to_pylist()
+            ends = [*starts[1:], table.num_rows]
+            keep = pa.array(np.concatenate([partnered(n[a:b], c[a:b], parity[a:b], similarity) for a, b in zip(starts, ends)]))
+            yield from table.select(["s", "key"]).filter(keep).combine_chunks().to_batches()
+
+    rows = lists.select("s", "key", "n", "c").join(nodes.select("key", "parity"), "key")
+    return deal_cells(rows, ["s"], "key", CELL_ROWS).mapInArrow(run, "s long, key long").distinct()
+
+
 def list_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """Links (u, v) that connect the texts of each list of ``lists(s, key)`` as all its pairs of that similarity would."""
 
@@ -263,7 +299,8 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = cut(close_enough(rest, nodes, similarity))
     rest = cut(verified(rest, nodes, docs, text_col, words, similarity))
     if not long.isEmpty():
-        rest = rest.unionByName(cut(list_links(lists.join(long, "s"), nodes, docs, text_col, words, similarity).distinct()))
+        long = cut(possible(lists.join(long, "s"), nodes, similarity))
+        rest = rest.unionByName(cut(list_links(long, nodes, docs, text_col, words, similarity).distinct()))
 
     found = connected_components(near.unionByName(rest))
     return rows.select("id", "h", "key").join(found, rows.key == found.node, "left").select("id", "h", F.coalesce("component", "key").alias("group"))

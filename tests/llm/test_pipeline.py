@@ -90,6 +90,19 @@ def test_bitmaps_never_exceed_the_difference():
         assert found <= len(np.setxor1d(x, y))
 
 
+def test_partnered_loses_no_pair():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 2**63, 260).astype(np.uint64))
+    sets = [np.unique(np.append(base[: rng.integers(120, 260)], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64))) for _ in range(80)]
+    sets += [np.zeros(0, dtype=np.uint64)] * 2
+    group = rng.integers(0, 30, len(sets))
+    got = near_copies.partnered(np.array([len(x) for x in sets]), group, [near_copies.parity_bitmap(x) for x in sets], 0.8)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if group[i] != group[j] and jaccard(set(x), set(y)) >= 0.8:
+                assert got[i] and got[j]
+
+
 @pytest.mark.parametrize("longest, cell", [(near_copies.LIST_ROWS, near_copies.CELL_ROWS), (1, 3)])
 def test_groups_equal_brute_force(spark, monkeypatch, longest, cell):
     monkeypatch.setattr(near_copies, "LIST_ROWS", longest)
