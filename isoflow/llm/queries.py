@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_count, chat, decontam, embed_neardup, html_extract, langid, mixing, simhash, sstable, toxicity
+from . import bpe_count, chat, collocations, decontam, embed_neardup, html_extract, importance, langid, mixing, secrets, simhash, sstable, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,26 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    base = F.filter("spans", lambda s: s["kind"] != "value")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, top=2000, cover_percent=50)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, buckets=10_000, longest=3, seed=42)
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dups": op1_embedding_near_dups,
     "op2_simhash": op2_simhash,
@@ -78,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_token_shards": op10_token_shards,
+    "op11_secrets": op11_secrets,
+    "op12_collocations": op12_collocations,
+    "op13_importance": op13_importance,
 }
 
 ORACLE: dict[str, str] = {
@@ -146,5 +169,39 @@ WITH d AS (
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+""",
+    "op12_collocations": r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), p AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t
+), o AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) > 0
+), u AS (
+  SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, len(w) - i AS more FROM o
+), f1 AS (
+  SELECT lang, a, count(*) AS f FROM u GROUP BY ALL
+), f2 AS (
+  SELECT lang, a, b, count(*) AS f FROM u WHERE more >= 1 GROUP BY ALL HAVING count(*) >= 10
+), f3 AS (
+  SELECT lang, a, b, c, count(*) AS f FROM u WHERE more >= 2 GROUP BY ALL HAVING count(*) >= 10
+), s2 AS (
+  SELECT f2.lang, f2.a || ' ' || f2.b AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1 AS k
+  FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.a = f2.a JOIN f1 y ON y.lang = f2.lang AND y.a = f2.b
+  WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND (f3.a = f2.a AND f3.b = f2.b OR f3.b = f2.a AND f3.c = f2.b) AND 100 * f3.f >= 50 * f2.f)
+), s3 AS (
+  SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c AS phrase, f3.f AS a, x.f AS l, y.f AS r, 1 AS k
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.a = f3.a JOIN f2 y ON y.lang = f3.lang AND y.a = f3.b AND y.b = f3.c
+  UNION ALL
+  SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c AS phrase, f3.f AS a, x.f AS l, y.f AS r, 2 AS k
+  FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.a = f3.a AND x.b = f3.b JOIN f1 y ON y.lang = f3.lang AND y.a = f3.c
+), s AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM (SELECT * FROM s2 UNION ALL SELECT * FROM s3)
+), c AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), n AS (
+  SELECT lang, count(*) AS n FROM u GROUP BY lang
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM c JOIN n USING (lang) QUALIFY rank <= 2000
 """,
 }
