@@ -5,7 +5,8 @@ every word. The lists' lengths, added up over all blocks, are the words' exact f
 frequent words go back to their blocks, where each one's positions are merged with the postings
 one place further on; that gives the lists of the pairs, and in the same way those of the
 triples whose two pairs are frequent. Only lengths of lists and the marks of frequent phrases
-are shuffled with their phrases, never positions.
+are shuffled with their phrases, never positions. Frequent pairs go to the blocks as a whole
+if they are few, and only to the blocks that have them, by a join, if they are many.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import fresh_path
 from .importance import packed, unpacked
+from .ranks import numbered
 
-#: Words of a block.
-BLOCK_WORDS = 4_000_000
+#: Words of a block; frequent pairs that every task may hold.
+BLOCK_WORDS, HELD_PAIRS = 2_000_000, 2_000_000
 #: Parts in which a language's best phrases are found before they meet.
 PARTS = 64
 #: A-Z become a-z, ends of pieces a line feed, tabs a space.
@@ -58,7 +60,7 @@ def word_lists(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
             own = np.concatenate(parts)
             there = own >= 0
             # A break between pieces takes a place of its own.
-            position = np.cumsum(np.where(there | (np.append(0, own[:-1]) >= 0), 1, 0))[there]
+            position = np.cumsum(there | (np.append(0, own[:-1]) >= 0), dtype=np.int32)[there]
             order = np.argsort(own[there], kind="stable")
             counts = np.bincount(own[there], minlength=len(numbers))
             position = position[order]
@@ -90,8 +92,8 @@ def word_lists(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     z = len(rest) if z < 0 else z
                     own = by_lang.get(lang) or by_lang.setdefault(lang, Numbers(lang))
                     words = rest[a:z].replace(b"\n", b" \n ").split(b" ")
-                    x = np.fromiter(map(own.__getitem__, words), dtype=np.int64, count=len(words))
-                    parts.append(np.append(x[x != -2], -1))
+                    x = np.fromiter(map(own.__getitem__, words), dtype=np.int32, count=len(words))
+                    parts.append(np.append(x[x != -2], np.int32(-1)))
                     size += len(words)
                     a = z
                     if size >= BLOCK_WORDS:
@@ -105,49 +107,45 @@ def word_lists(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "block long, langs array<string>, words array<string>, counts array<long>, lists binary")
 
 
-def frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """The rows (keys, block, own, n) of phrases with ``least`` occurrences, with these as f, and an id for each phrase: the least place it has."""
-    # One row for each block that has the phrase.
-    w = W.partitionBy(*keys)
-    place = F.struct("block", "own")
-    return rows.select(*keys, "block", "own", F.sum("n").over(w).alias("f"), F.min(place).over(w).alias("id")).where(F.col("f") >= least)
+def with_marks(marks: DataFrame, lists: DataFrame) -> DataFrame:
+    """(block, lists, marks): beside each block's lists its marks (own, number), sorted and packed."""
 
-
-def meet(marks: DataFrame, lists: DataFrame) -> DataFrame:
-    """(block, lists, own, id): the marks of each block in front of its lists, in one task."""
-    a = marks.select("block", F.lit(None).cast("binary").alias("lists"), F.col("own"), F.col("number").alias("id"))
-    b = lists.select("block", "lists", F.lit(None).cast("long").alias("own"), F.lit(None).cast("long").alias("id"))
-    return a.unionByName(b).repartition("block").sortWithinPartitions("block", F.col("lists").isNotNull())
-
-
-def with_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(block, word, position, own, id) of each block: its words in order of position, and its marks by ``own``."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    at = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            blocks, lists_ = b.column(0).to_numpy(), b.column(1)
+            own, ids = (b.column(c).fill_null(-1).to_numpy() for c in (2, 3))
+            a = 0
+            # A block's marks end with the row of its lists.
+            for e in [*np.flatnonzero(np.asarray(lists_.is_valid())).tolist(), b.num_rows]:
+                if e > a:
+                    at, held = blocks[a], [*(held if at == blocks[a] else []), (own[a:e].copy(), ids[a:e].copy())]
+                if e == b.num_rows:
+                    break
+                held = held if at == blocks[e] else []
+                x, y = (np.concatenate(z) for z in zip(*held)) if held else (np.zeros(0, dtype=np.int64),) * 2
+                o = np.argsort(x, kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array([blocks[e]]), pa.array([lists_[e].as_py()], pa.binary()), pa.array([packed(x[o], y[o])], pa.binary())], names=["block", "lists", "marks"])
+                at, held, a = None, [], e + 1
+
+    a = marks.select("block", F.lit(None).cast("binary").alias("lists"), "own", "number")
+    b = lists.select("block", "lists", F.lit(None).cast("long").alias("own"), F.lit(None).cast("long").alias("number"))
+    both = a.unionByName(b).repartition("block").sortWithinPartitions("block", F.col("lists").isNotNull())
+    return both.mapInArrow(run, "block long, lists binary, marks binary")
+
+
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(block, word, position, own, number) of each block: its words in order of position, and its marks by ``own``."""
     for b in batches:
-        blocks, lists = b.column(0).to_numpy(), b.column(1)
-        ends = np.flatnonzero(np.asarray(lists.is_valid()))
-        a = 0
-        own, ids = (b.column(c).fill_null(-1).to_numpy() for c in (2, 3))
-        for e in [*ends.tolist(), b.num_rows]:
-            if e > a:
-                if at != blocks[a]:
-                    held, at = [], blocks[a]
-                held.append((own[a:e].copy(), ids[a:e].copy()))
-            if e == b.num_rows:
-                break
-            if at != blocks[e]:
-                held, at = [], blocks[e]
-            counts, gap = unpacked(lists[e].as_py(), np.uint32, np.uint32)
+        for block, lists, marks in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            counts, gap = unpacked(lists.as_py(), np.uint32, np.uint32)
             counts = counts.astype(np.int64)
             start = np.cumsum(counts) - counts
-            running = np.cumsum(gap, dtype=np.int64)
-            position = running - np.repeat(np.append(0, running)[start], counts)
+            # Each list starts anew; sums of all gaps may wrap and their differences come out right.
+            position = np.cumsum(gap, dtype=np.uint32)
+            position -= np.repeat(np.append(np.uint32(0), position)[start], counts)
             order = np.argsort(position, kind="stable")
-            x, y = (np.concatenate(z) for z in zip(*held)) if held else (np.zeros(0, dtype=np.int64),) * 2
-            o = np.argsort(x, kind="stable")
-            yield int(blocks[e]), np.repeat(np.arange(len(counts)), counts)[order], position[order], x[o], y[o]
-            held, a = [], e + 1
+            yield block, np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order], position[order], *unpacked(marks.as_py(), np.int64, np.int64)
 
 
 def found(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -158,25 +156,57 @@ def found(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_[at] == x, at, -1)
 
 
+def neighbours(word: np.ndarray, position: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, code) of each place whose word and next word are marked and adjoin; the code holds both words' numbers in the block."""
+    marked = found(own, np.arange(int(word.max()) + 1)) >= 0
+    place = np.flatnonzero((position[1:] == position[:-1] + 1) & marked[word[1:]] & marked[word[:-1]])
+    return place, word[place].astype(np.int64) << 32 | word[place + 1]
+
+
 def pair_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(left, right, block, own, n): the pairs of adjoining frequent words of each block and the lengths of their lists."""
-    for block, word, position, own, ids in with_marks(batches):
-        mark = found(own, np.arange(int(word.max()) + 1))[word]
-        near = (position[1:] == position[:-1] + 1) & (mark[1:] >= 0) & (mark[:-1] >= 0)
-        code, n = np.unique(word[:-1][near] << 32 | word[1:][near], return_counts=True)
-        x, y = ids[found(own, code >> 32)], ids[found(own, code & 0xFFFFFFFF)]
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(code), block)), pa.array(code), pa.array(n)], names=["left", "right", "block", "own", "n"])
+    """(left, right, n): the pairs of adjoining frequent words of each block and the lengths of their lists."""
+    for _, word, position, own, ids in opened(batches):
+        code, n = np.unique(neighbours(word, position, own)[1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[found(own, code >> 32)]), pa.array(ids[found(own, code & 0xFFFFFFFF)]), pa.array(n)], names=["left", "right", "n"])
+
+
+def pair_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(left, right, block, own): the pairs of adjoining frequent words of each block, and their code there."""
+    for block, word, position, own, ids in opened(batches):
+        code = np.unique(neighbours(word, position, own)[1])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[found(own, code >> 32)]), pa.array(ids[found(own, code & 0xFFFFFFFF)]), pa.array(np.full(len(code), block)), pa.array(code)], names=["left", "right", "block", "own"])
+
+
+def triples_of(place: np.ndarray, pair: np.ndarray) -> pa.RecordBatch:
+    """(left, right, n): how often two pairs of these ids overlap in a word, from the pairs' places."""
+    both = np.flatnonzero(place[1:] == place[:-1] + 1)
+    ids, at = np.unique(pair, return_inverse=True)
+    code, n = np.unique(at[both].astype(np.int64) << 32 | at[both + 1], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids[code >> 32]), pa.array(ids[code & 0xFFFFFFFF]), pa.array(n)], names=["left", "right", "n"])
 
 
 def triple_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(left, right, n): the triples of each block that two adjoining frequent pairs make, by these."""
-    for _, word, position, own, ids in with_marks(batches):
-        near = position[1:] == position[:-1] + 1
-        at = np.full(len(near), -1, dtype=np.int64)
-        at[near] = found(own, word[:-1][near] << 32 | word[1:][near])
-        both = (at[:-1] >= 0) & (at[1:] >= 0)
-        code, n = np.unique(at[:-1][both] << 32 | at[1:][both], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[code >> 32]), pa.array(ids[code & 0xFFFFFFFF]), pa.array(n)], names=["left", "right", "n"])
+    """(left, right, n): the triples of each block that two frequent pairs make, by these; the marks are those of pairs."""
+    for _, word, position, own, ids in opened(batches):
+        near = np.flatnonzero(position[1:] == position[:-1] + 1)
+        at = found(own, word[near].astype(np.int64) << 32 | word[near + 1])
+        yield triples_of(near[at >= 0], ids[at[at >= 0]])
+
+
+def triple_lengths_of(left: np.ndarray, right: np.ndarray):
+    """The same where the marks are those of words and all frequent pairs are held, sorted; a pair's id is its place."""
+    heads, tails = np.unique(left), np.unique(right)
+    codes = np.searchsorted(heads, left) << 32 | np.searchsorted(tails, right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, word, position, own, ids in opened(batches):
+            place, code = neighbours(word, position, own)
+            code, at = np.unique(code, return_inverse=True)
+            x, y = found(heads, ids[found(own, code >> 32)]), found(tails, ids[found(own, code & 0xFFFFFFFF)])
+            pair = np.where((x >= 0) & (y >= 0), found(codes, x << 32 | y), -1)[at]
+            yield triples_of(place[pair >= 0], pair[pair >= 0])
+
+    return run
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -186,14 +216,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def numbered(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """``frequent`` rows as marks (block, own, number), and phrases (keys, number, f); a number is for one phrase."""
-    rows = written(rows, name)
-    first = rows.where((F.col("block") == F.col("id.block")) & (F.col("own") == F.col("id.own")))
-    first = written(first.select(*keys, "id", "f").withColumn("number", F.monotonically_increasing_id()), f"{name}-numbers")
-    return rows.join(first.select("id", "number"), "id").select("block", "own", "number"), first.select(*keys, "number", "f")
-
-
 def collocations(docs: DataFrame, least: int = 10, top: int = 2000, cover_percent: int = 50, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's best phrases of two and three words.
 
@@ -206,15 +228,32 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, cover_percen
     ``und``; null and empty texts have no words; every row counts, repeated ones too; an empty
     table gives none. Further columns are not read.
     """
+    spark = docs.sparkSession
     blocks = written(word_lists(docs, lang_col, text_col), "lists")
     lists = blocks.select("block", "lists")
     entries = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("own", "e"))
     entries = entries.select(F.col("e.langs").alias("lang"), F.col("e.words").alias("word"), "block", F.col("own").cast("long").alias("own"), F.col("e.counts").alias("n"))
     totals = entries.groupBy("lang").agg(F.sum("n").alias("n"))
-    marks, words = numbered(frequent(entries, ["lang", "word"], least), ["lang", "word"], "words")
-    lengths = meet(marks, lists).mapInArrow(pair_lengths, "left long, right long, block long, own long, n long")
-    marks, pairs = numbered(frequent(lengths, ["left", "right"], least), ["left", "right"], "pairs")
-    lengths = meet(marks, lists).mapInArrow(triple_lengths, "left long, right long, n long")
+    # One row for each block that has the word.
+    entries = entries.withColumn("f", F.sum("n").over(W.partitionBy("lang", "word"))).where(F.col("f") >= least).drop("n")
+    entries = written(entries, "words")
+    words = numbered(entries.select("lang", "word", "f").distinct(), "number")
+    marks = entries.join(words.select("lang", "word", "number"), ["lang", "word"]).select("block", "own", "number")
+    marked = written(with_marks(marks, lists), "marked")
+    pairs = marked.mapInArrow(pair_lengths, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    pairs = written(pairs, "pairs")
+    if pairs.count() <= HELD_PAIRS:
+        held = pairs.select("left", "right").toArrow()
+        left, right = (held.column(c).to_numpy() for c in ("left", "right"))
+        order = np.lexsort((right, left))
+        sent = spark.sparkContext.broadcast((left[order], right[order]))
+        number = spark.createDataFrame(pa.table({"left": left[order], "right": right[order], "number": np.arange(len(order))}))
+        pairs = pairs.join(number, ["left", "right"])
+        lengths = marked.mapInArrow(lambda batches: triple_lengths_of(*sent.value)(batches), "left long, right long, n long")
+    else:
+        pairs = numbered(pairs, "number")
+        places = marked.mapInArrow(pair_places, "left long, right long, block long, own long")
+        lengths = with_marks(places.join(pairs.select("left", "right", "number"), ["left", "right"]), lists).mapInArrow(triple_lengths, "left long, right long, n long")
     triples = lengths.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
     def side(df: DataFrame, name: str, *columns: str) -> DataFrame:

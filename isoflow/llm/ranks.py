@@ -7,24 +7,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written, with ``name`` from 0 on, each number once; what comes to the driver is a count for each partition."""
+    at = cut(df.withColumn(name, F.monotonically_increasing_id()))
+    # The id holds the partition above bit 33 and the place below.
+    part = F.shiftright(name, 33).cast("int")
+    sizes = {r.part: r["count"] for r in at.groupBy(part.alias("part")).count().collect()}
+    before, total = [], 0
+    for p in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    first = F.get(F.array(*(F.lit(x).cast("long") for x in before)), part)
+    return at.withColumn(name, first + F.col(name).bitwiseAND((1 << 33) - 1))
+
+
 def with_rank(df: DataFrame, order: list[Column]) -> DataFrame:
     """Adds ``rank``, 1, 2, 3 .. in the given order.
 
     Rows are dealt by range and sorted there; the rank is the place in the range and the rows
-    of the ranges before. What comes to the driver is a count for each range. Ties fall in
-    one range, so ``order`` should end in columns that tell rows apart.
+    of the ranges before. Ties fall in one range, so ``order`` should end in columns that tell
+    rows apart.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # The id holds the range above bit 33 and the place below.
-    at = cut(at.withColumn("place_in_all", F.monotonically_increasing_id()))
-    part = F.shiftright("place_in_all", 33)
-    sizes = at.groupBy(part.alias("part")).count().orderBy("part").collect()
-    before, offsets = 0, [0]
-    for r in sizes:
-        offsets += [before] * (r.part + 1 - len(offsets))
-        if r.part < len(offsets):
-            offsets[r.part] = before
-        before += r["count"]
-    first = F.get(F.array(*(F.lit(x).cast("long") for x in offsets)), part.cast("int"))
-    return at.withColumn("rank", first + F.col("place_in_all").bitwiseAND((1 << 33) - 1) + 1).drop("place_in_all")
+    at = numbered(df.repartitionByRange(parts, *order).sortWithinPartitions(*order), "rank")
+    return at.withColumn("rank", F.col("rank") + 1)
