@@ -193,8 +193,8 @@ def triple_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield triples_of(near[at >= 0], ids[at[at >= 0]])
 
 
-def triple_lengths_of(left: np.ndarray, right: np.ndarray):
-    """The same where the marks are those of words and all frequent pairs are held, sorted; a pair's id is its place."""
+def triple_lengths_of(left: np.ndarray, right: np.ndarray, number: np.ndarray):
+    """The same where the marks are those of words and all frequent pairs are held, sorted."""
     heads, tails = np.unique(left), np.unique(right)
     codes = np.searchsorted(heads, left) << 32 | np.searchsorted(tails, right)
 
@@ -204,7 +204,7 @@ def triple_lengths_of(left: np.ndarray, right: np.ndarray):
             code, at = np.unique(code, return_inverse=True)
             x, y = found(heads, ids[found(own, code >> 32)]), found(tails, ids[found(own, code & 0xFFFFFFFF)])
             pair = np.where((x >= 0) & (y >= 0), found(codes, x << 32 | y), -1)[at]
-            yield triples_of(place[pair >= 0], pair[pair >= 0])
+            yield triples_of(place[pair >= 0], number[pair[pair >= 0]])
 
     return run
 
@@ -241,17 +241,14 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, cover_percen
     marks = entries.join(words.select("lang", "word", "number"), ["lang", "word"]).select("block", "own", "number")
     marked = written(with_marks(marks, lists), "marked")
     pairs = marked.mapInArrow(pair_lengths, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    pairs = written(pairs, "pairs")
+    pairs = numbered(pairs, "number")
     if pairs.count() <= HELD_PAIRS:
-        held = pairs.select("left", "right").toArrow()
-        left, right = (held.column(c).to_numpy() for c in ("left", "right"))
+        held = pairs.select("left", "right", "number").toArrow()
+        left, right, number = (held.column(c).to_numpy() for c in ("left", "right", "number"))
         order = np.lexsort((right, left))
-        sent = spark.sparkContext.broadcast((left[order], right[order]))
-        number = spark.createDataFrame(pa.table({"left": left[order], "right": right[order], "number": np.arange(len(order))}))
-        pairs = pairs.join(number, ["left", "right"])
+        sent = spark.sparkContext.broadcast((left[order], right[order], number[order]))
         lengths = marked.mapInArrow(lambda batches: triple_lengths_of(*sent.value)(batches), "left long, right long, n long")
     else:
-        pairs = numbered(pairs, "number")
         places = marked.mapInArrow(pair_places, "left long, right long, block long, own long")
         lengths = with_marks(places.join(pairs.select("left", "right", "number"), ["left", "right"]), lists).mapInArrow(triple_lengths, "left long, right long, n long")
     triples = lengths.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
