@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -63,6 +66,71 @@ def lloyd(x: np.ndarray, k: int, starts: int = 25, max_iter: int = 30, seed: int
     return labels
 
 
+def lloyd_by_set(points: DataFrame, k: int, starts: int = 25, max_iter: int = 30, seed: int = 42) -> DataFrame:
+    """(set, id, cluster from 0) of ``points(set, id, v)``: ``lloyd`` of every set in the same passes.
+
+    Each pass assigns all points for all starts and adds up in the tasks; centres, a few
+    numbers for each set and start, come to the driver. Starting centres are points with the
+    least hashes, so runs agree.
+    """
+    spot = F.row_number().over(W.partitionBy("set").orderBy(F.xxhash64(F.lit(seed), "id"), "id"))
+    first: dict[int, list] = {}
+    for r in points.withColumn("spot", spot).where(F.col("spot") <= k * starts).orderBy("set", "spot").collect():
+        first.setdefault(r["set"], []).append(r.v)
+    # In a small set some points start twice.
+    centres = {s: np.array([v[(a * k + c) % len(v)] for a in range(starts) for c in range(k)]).reshape(starts, k, -1) for s, v in first.items()}
+
+    def near(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return ((x[:, None, None, :] - c[None]) ** 2).sum(axis=3)
+
+    def groups(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        sets = b.column(0).to_numpy()
+        x = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
+        for s in np.unique(sets):
+            at = np.flatnonzero(sets == s)
+            yield int(s), at, x[at]
+
+    def sums(centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        """Of each set, for each start: how many points each centre has, their sum, and the cost."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for s, _, x in groups(b) if b.num_rows else ():
+                    d = near(x, centres[s])
+                    own = d.argmin(axis=2)
+                    add = np.zeros((starts, k, x.shape[1] + 2))
+                    for c in range(k):
+                        m = (own == c).astype(float)
+                        add[:, c, 0], add[:, c, 1:-1], add[:, c, -1] = m.sum(axis=0), m.T @ x, (m * d[:, :, c]).sum(axis=0)
+                    held[s] = held[s] + add if s in held else add
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["set", "x"])
+
+        total: dict[int, np.ndarray] = {}
+        for r in points.select("set", "id", "v").mapInArrow(run, "set long, x binary").collect():
+            x = np.frombuffer(r.x).reshape(starts, k, -1)
+            total[r["set"]] = total[r["set"]] + x if r["set"] in total else x
+        return total
+
+    for _ in range(max_iter):
+        new = {s: np.where(x[:, :, :1] > 0, x[:, :, 1:-1] / np.maximum(x[:, :, :1], 1), centres[s]) for s, x in sums(centres).items()}
+        still = all(np.array_equal(new[s], centres[s]) for s in new)
+        centres = new
+        if still:
+            break
+    best = {s: centres[s][[x[:, :, -1].sum(axis=1).argmin()]] for s, x in sums(centres).items()}
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros(b.num_rows, dtype=np.int32)
+            for s, at, x in groups(b) if b.num_rows else ():
+                out[at] = near(x, best[s]).argmin(axis=2)[:, 0]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["set", "id", "cluster"])
+
+    return points.select("set", "id", "v").mapInArrow(label, "set long, id long, cluster int")
+
+
 def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
     """(id, cluster): the nearest of (cluster, v), the lower cluster on ties: one assignment step.
 
@@ -81,9 +149,11 @@ def centroids(points: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def shares(labels: DataFrame) -> DataFrame:
-    """(cluster, n, percent)."""
-    c = labels.groupBy("cluster").agg(F.count("*").alias("n"))
-    return c.select("cluster", "n", (100.0 * F.col("n") / F.sum("n").over(W.partitionBy())).alias("percent"))  # one row for each cluster
+    """(cluster, n, percent), and the mean ``uncertainty`` of each cluster if the labels have one."""
+    more = [F.avg("uncertainty").alias("uncertainty")] if "uncertainty" in labels.columns else []
+    c = labels.groupBy("cluster").agg(F.count("*").alias("n"), *more)
+    share = (100.0 * F.col("n") / F.sum("n").over(W.partitionBy())).alias("percent")  # one row for each cluster
+    return c.select("cluster", "n", share, *(["uncertainty"] if more else []))
 
 
 def representatives(points: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Both sides are packed into blocks. A task takes a block of queries and has the blocks of
 references pass by, one after another; it keeps the nearest of each query so far, and gives
 k rows for each query at the end. References of a checked size are broadcast, others go
-once to each block of queries.
+once to each block of queries that can have a neighbour among them.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .blocks import kept
 from .trajectory import kabsch
 
-#: Rows of a block of queries at most, and of references; numbers in all references that are broadcast.
-QUERY_ROWS, REF_ROWS, BROADCAST_NUMBERS = 8192, 1024, 4_000_000
+#: Rows of a block of queries at most, and of references; numbers in all references that are broadcast; pivots.
+QUERY_ROWS, REF_ROWS, BROADCAST_NUMBERS, PIVOTS = 8192, 1024, 4_000_000, 512
 
 Distance = Callable[[list, list], np.ndarray]
 
@@ -49,10 +50,17 @@ def first_of_each(i: np.ndarray, d: np.ndarray, ids: np.ndarray, n: int) -> np.n
     return o[np.arange(len(o)) - np.searchsorted(own, own) < n]
 
 
-def sides(ref: DataFrame, query: DataFrame, cols: list[str], size: Column, query_rows: int, ref_rows: int) -> DataFrame:
-    """(q_block, kind, rows): each block of queries (kind 0) and after it all blocks of references (kind 1), in one task."""
+def sides(ref: DataFrame, query: DataFrame, cols: list[str], size: Column, query_rows: int, ref_rows: int, alike: bool = False, pivot: tuple | None = None) -> DataFrame:
+    """(q_block, kind, rows): each block of queries (kind 0) and after it all blocks of references (kind 1), in one task.
+
+    With ``alike`` rows of unlike sizes raise an error. ``pivot`` (distance, neighbours,
+    whether a row's own id counts) sends only the blocks that can hold a neighbour, for
+    distances that keep the triangle inequality.
+    """
     sizes = [F.count("*").alias("n"), F.sum(size).alias("numbers"), F.min(size).alias("low"), F.max(size).alias("high")]
     r, q = ref.agg(*sizes).first(), query.agg(*sizes).first()
+    if alike and len({x for side in (r, q) for x in (side.low, side.high) if x is not None}) > 1:
+        raise ValueError("the rows have unlike lengths")
     at_once = 2 * ref.sparkSession.sparkContext.defaultParallelism
     n_q = max(1, math.ceil(q.n / query_rows), min(q.n // 32, at_once))
     refs = pack(ref, max(1, math.ceil(r.n / ref_rows)), cols)
@@ -64,11 +72,90 @@ def sides(ref: DataFrame, query: DataFrame, cols: list[str], size: Column, query
         both = queries.join(F.broadcast(whole), F.lit(True))
         parts = F.concat(F.array(F.struct(F.lit(0).alias("kind"), F.col("rows"))), F.transform("refs", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("rows"))))
         return both.select("block", F.explode(parts).alias("p")).select(F.col("block").alias("q_block"), "p.kind", "p.rows")
+    if pivot is not None:
+        return pivoted(ref, query, cols, *pivot, query_rows, ref_rows)
     tagged = refs.select(every.alias("q_block"), F.lit(1).alias("kind"), "rows").unionByName(queries.select(F.col("block").alias("q_block"), F.lit(0).alias("kind"), "rows"))
     return tagged.repartition(n_q, "q_block").sortWithinPartitions("q_block", "kind")
 
 
-def knn_join(ref: DataFrame, query: DataFrame | None, cols: list[str], distance: Distance, k: int | None, exclude: str, rows: int = REF_ROWS, query_rows: int = QUERY_ROWS, sound: Column | None = None, size: Column | None = None) -> DataFrame:
+def members(x: pa.Array, cols: list[str]) -> tuple[np.ndarray, list]:
+    """Ids and the other fields of packed rows."""
+    return x.field(0).to_numpy(zero_copy_only=False), [x.field(c + 1) for c in range(len(cols))]
+
+
+def pivoted(ref: DataFrame, query: DataFrame, cols: list[str], distance: Distance, need: int, own_counts: bool, query_rows: int, ref_rows: int) -> DataFrame:
+    """``sides`` without the blocks of references that cannot hold a neighbour of any query of a block.
+
+    Rows go to the nearest of some pivots, so blocks are close together. A reference block
+    knows how near and how far from its pivot its rows are; a query's distance to that
+    pivot then bounds its distance to all of them. A query needs no block that is further
+    than its ``need`` nearest pivots. Pivots are references themselves, PIVOTS at most.
+    """
+    spark = ref.sparkSession
+    some = ref.orderBy(F.xxhash64("id"), "id").limit(PIVOTS)
+    packed = some.agg(F.array_sort(F.collect_list(F.struct("id", *cols))).alias("rows")).toArrow().column("rows").combine_chunks()
+    sent = spark.sparkContext.broadcast(packed)
+    row = "struct<" + ",".join(f"{c}:{t}" for c, t in ref.select("id", *cols).dtypes) + ">"
+
+    def placed(df: DataFrame, rows: int) -> DataFrame:
+        """(cell, chunk, rows): rows by their nearest pivot, a large cell in chunks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, parts = members(sent.value.values, cols)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                d = distance([b.column(c + 1) for c in range(len(cols))], parts)
+                ok = ~np.isnan(d).all(axis=1)  # what has no distance to any has no neighbours
+                b, d = b.filter(pa.array(ok)), d[ok]
+                cell = np.argmin(np.where(np.isnan(d), np.inf, d), axis=1)
+                packed_ = pa.StructArray.from_arrays([b.column(c) for c in range(len(cols) + 1)], names=["id", *cols])
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), packed_], names=["cell", "row"])
+
+        at = df.select("id", *cols).mapInArrow(run, f"cell int, row {row}")
+        sizes = at.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("chunks"))  # a row for each pivot
+        at = at.join(F.broadcast(sizes), "cell").withColumn("chunk", F.pmod(F.xxhash64("row.id"), F.col("chunks")))
+        return at.groupBy("cell", "chunk").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+
+    refs, queries = (kept(placed(df, n).withColumn("block", (F.col("cell").cast("long") * 2**32 + F.col("chunk")))) for df, n in ((ref, ref_rows), (query, query_rows)))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for cell, block, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                _, own = members(x.values, cols)
+                _, parts = members(sent.value.values, cols)
+                d = distance(own, [p.slice(cell, 1) for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([block]), pa.array([d.min()]), pa.array([d.max()])], names=["cell", "block", "low", "high"])
+
+    # Four numbers for each block of ref_rows rows.
+    spread = refs.select("cell", "block", "rows").mapInArrow(measure, "cell int, block long, low double, high double").toArrow()
+    ranges = spark.sparkContext.broadcast(tuple(spread.column(c).to_numpy() for c in ("cell", "block", "low", "high")))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts = members(sent.value.values, cols)
+        cell, block, low, high = ranges.value
+        for b in batches:
+            for q_block, x in zip(b.column(0).to_pylist(), b.column(1)):
+                own, fields = members(x.values, cols)
+                d = distance(fields, parts)
+                other = np.where(np.isnan(d) | (False if own_counts else own[:, None] == ids[None, :]), np.inf, d)
+                most = np.partition(other, need - 1, axis=1)[:, need - 1] if need <= other.shape[1] else np.full(len(own), np.inf)
+                near = np.zeros(len(block), dtype=bool)
+                for a in range(0, len(block), 4096):  # blocks of references at once
+                    z = slice(a, a + 4096)
+                    dq = d[:, cell[z]]
+                    # Rounding may not cost a neighbour.
+                    least = np.maximum(dq - high[z], low[z] - dq) - 1e-6 * (dq + high[z])
+                    near[z] = (least <= most[:, None]).any(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), q_block)), pa.array(block[near])], names=["q_block", "block"])
+
+    pairs = queries.select("block", "rows").mapInArrow(wanted, "q_block long, block long")
+    sent_refs = pairs.join(refs.select("block", "rows"), "block").select("q_block", F.lit(1).alias("kind"), "rows")
+    both = sent_refs.unionByName(queries.select(F.col("block").alias("q_block"), F.lit(0).alias("kind"), "rows"))
+    return both.repartition("q_block").sortWithinPartitions("q_block", "kind")
+
+
+def knn_join(ref: DataFrame, query: DataFrame | None, cols: list[str], distance: Distance, k: int | None, exclude: str, rows: int = REF_ROWS, query_rows: int = QUERY_ROWS, sound: Column | None = None, size: Column | None = None, alike: bool = False, bounded: bool = False) -> DataFrame:
     """(src, dst, rank, dist) of the k nearest rows of ``ref`` for each row of ``query``.
 
     Ranks start at 1; equal distances go by id. ``exclude``: "self" leaves the rows of the
@@ -77,9 +164,13 @@ def knn_join(ref: DataFrame, query: DataFrame | None, cols: list[str], distance:
     null or non-finite numbers, are left out on both sides, and so are pairs whose
     distance is not a number. If fewer than k rows are left, all are returned. Rows that
     repeat an id are points of their own: each has its ranks. Empty sides give no rows.
+    A ``bounded`` distance keeps the triangle inequality, which spares blocks of references
+    that are too far where these are too many to broadcast.
     """
     if exclude not in ("self", "rank0", "none"):
         raise ValueError(f"exclude: {exclude}")
+    if k is not None and k < 1:
+        raise ValueError("k must be 1 or more")
     query = ref if query is None else query
     sound, size = F.lit(True) if sound is None else sound, F.size(cols[0]) if size is None else size
     ref, query = (x.select("id", *cols).where(F.col("id").isNotNull() & sound) for x in (ref, query))
@@ -124,7 +215,8 @@ def knn_join(ref: DataFrame, query: DataFrame | None, cols: list[str], distance:
                 best = [p[keep] for p in best]
         yield from ranked()
 
-    return sides(ref, query, cols, size, query_rows, rows).mapInArrow(run, "src long, dst long, rank long, dist double")
+    pivot = (distance, need, exclude != "self") if bounded and need is not None else None
+    return sides(ref, query, cols, size, query_rows, rows, alike, pivot).mapInArrow(run, "src long, dst long, rank long, dist double")
 
 
 def finite(x: Column) -> Column:
@@ -182,10 +274,10 @@ def knn(ref: DataFrame, k: int | None, query: DataFrame | None = None, metric: s
     """Dense vectors (id, v array<double>); metric "euclidean", "correlation" or a function of two blocks.
 
     Null and empty vectors and those with null or non-finite components are left out;
-    vectors of unlike lengths raise an error in the task that meets them.
+    vectors of unlike lengths raise an error.
     """
     distance = {"euclidean": euclidean_blocks, "correlation": correlation_blocks}.get(metric, metric)
-    return knn_join(ref, query, ["v"], distance, k, exclude, sound=(F.size("v") > 0) & F.forall("v", finite), size=F.size("v"))
+    return knn_join(ref, query, ["v"], distance, k, exclude, sound=(F.size("v") > 0) & F.forall("v", finite), size=F.size("v"), alike=True, bounded=isinstance(metric, str))
 
 
 def knn_sparse(ref: DataFrame, k: int | None, query: DataFrame | None = None, exclude: str = "self") -> DataFrame:
@@ -200,7 +292,7 @@ def knn_sparse(ref: DataFrame, k: int | None, query: DataFrame | None = None, ex
 def knn_rmsd(ref: DataFrame, k: int | None, query: DataFrame | None = None, masses: list[float] | None = None, fit: bool = True, scale: float = 10.0, exclude: str = "self") -> DataFrame:
     """Structures (id, coords array<array<double>>) under the RMSD of centred, optionally fitted, structures.
 
-    Structures without atoms, with an atom of not three coordinates or with null or non-finite ones are left out.
+    Structures without atoms, with an atom of not three coordinates or with null or non-finite ones are left out; unlike numbers of atoms raise an error.
     """
     m = None if masses is None else np.asarray(masses, dtype=np.float64)
 
@@ -215,4 +307,4 @@ def knn_rmsd(ref: DataFrame, k: int | None, query: DataFrame | None = None, mass
         return kabsch(x, y, np.ones(x.shape[1]) if m is None else m, fit) * scale
 
     sound = (F.size("coords") > 0) & F.forall("coords", lambda p: F.coalesce(F.size(p) == 3, F.lit(False)) & F.forall(p, finite))
-    return knn_join(ref, query, ["coords"], distance, k, exclude, 256, 256, sound, 3 * F.size("coords"))
+    return knn_join(ref, query, ["coords"], distance, k, exclude, 256, 256, sound, 3 * F.size("coords"), alike=True, bounded=True)

@@ -1,24 +1,24 @@
 """Eigenpairs of symmetric graphs, extension to further points, scaling, bisection.
 
-Graphs of up to DRIVER_NODES nodes are solved whole by LAPACK; their edges are counted
-before they are collected. Larger ones go by a block method, whose every product is a
-join and a sum and whose only collected values are small matrices. Both end within the same
-residual.
+Graphs of up to DRIVER_NODES nodes and DRIVER_EDGES edges, which are counted first, are solved
+by LAPACK, all others by the block method of ``blocks``, whose only collected values are small
+matrices. Both end within the same residual.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.geometry import ROOT_EPS
-from . import graph as g
-from .cluster import lloyd
+from . import blocks, graph as g
+from .cluster import lloyd, lloyd_by_set
 
-DRIVER_NODES, DRIVER_EDGES = 4096, 2_000_000
+#: Nodes and edges of a graph that LAPACK solves at once on the driver; landmarks that are scaled there.
+DRIVER_NODES, DRIVER_EDGES, LANDMARKS = 4096, 2_000_000, 4096
+#: Nodes and edges of a set that one task bisects with LAPACK; larger ones go by blocks.
+SET_NODES, SET_EDGES = 2048, 1_000_000
 
 
 def collect_matrix(edges: DataFrame, ids: list[int]) -> np.ndarray:
@@ -40,18 +40,19 @@ def fix_signs(v: np.ndarray) -> np.ndarray:
     return v * np.where(np.where(np.abs(s) > 1e-9, s, big) < 0, -1.0, 1.0)
 
 
-def top_eigs(edges: DataFrame, n: int, iterations: int = 200, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def top_eigs(edges: DataFrame, n: int, iterations: int = 300, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(k, eigenvalue, residual, converged) and (id, k, value) of the n largest eigenvalues.
 
-    ``edges(i, j, w)`` has each edge once. k goes from 1 by falling eigenvalue. The residual
-    is |Av - lv| / |l|; converged tells whether it is within the root of the machine epsilon.
+    ``edges(i, j, w)`` has each edge once; edges without a weight, as those of nodes whose
+    bandwidth is 0, are left out, and so are nodes without any other edge. k goes from 1 by
+    falling eigenvalue. The residual is |Av - lv| / |l|; converged tells whether it is within
+    the root of the machine epsilon.
     """
     spark = edges.sparkSession
-    edges = edges.persist()
-    nodes = edges.select(F.col("i").alias("id")).union(edges.select("j")).distinct()
-    n_nodes, n_edges = nodes.count(), edges.count()
-    if n_nodes <= DRIVER_NODES and n_edges <= DRIVER_EDGES:
-        ids = sorted(r.id for r in nodes.collect())
+    edges = blocks.kept(edges.where("w IS NOT NULL AND NOT isnan(w)").select("i", "j", "w"))
+    few = edges.select(F.col("i").alias("id")).union(edges.select("j")).distinct().limit(DRIVER_NODES + 1).collect()
+    if len(few) <= DRIVER_NODES and edges.count() <= DRIVER_EDGES:
+        ids = sorted(r.id for r in few)
         a = collect_matrix(edges, ids)
         val, vec = np.linalg.eigh(a)
         n = min(n, len(ids))
@@ -59,104 +60,23 @@ def top_eigs(edges: DataFrame, n: int, iterations: int = 200, seed: int = 42) ->
         res = np.linalg.norm(a @ vec - vec * val, axis=0) / np.abs(val)
         values = [(k + 1, float(val[k]), float(res[k]), bool(res[k] <= ROOT_EPS)) for k in range(n)]
         vectors = [(int(x), k + 1, float(vec[r, k])) for r, x in enumerate(ids) for k in range(n)]
-        return spark.createDataFrame(values, "k int, eigenvalue double, residual double, converged boolean"), spark.createDataFrame(vectors, "id long, k int, value double")
-    return subspace_eigs(edges, nodes, n, iterations, seed)
+        return spark.createDataFrame(values, VALUES), spark.createDataFrame(vectors, "id long, k int, value double")
+    return block_eigs(edges, n, iterations, seed)
 
 
-def subspace_eigs(edges: DataFrame, nodes: DataFrame, n: int, iterations: int, seed: int, extra: int = 4, tolerance: float = ROOT_EPS) -> tuple[DataFrame, DataFrame]:
-    """The n largest eigenvalues by a block method with joins: locally optimal conjugate gradients.
+VALUES = "k int, eigenvalue double, residual double, converged boolean"
+
+
+def block_eigs(edges: DataFrame, n: int, iterations: int = 300, seed: int = 42, tolerance: float = ROOT_EPS, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``top_eigs`` by products of packed blocks, for graphs of any size."""
+    pairs, vectors = blocks.largest_eigs(edges.select(F.lit(0).alias("set"), "i", "j", "w"), n, iterations, seed, tolerance=tolerance, rows=rows)
+    values = [(k, value, residual, residual <= ROOT_EPS) for _, k, value, residual in pairs]
+    return edges.sparkSession.createDataFrame(values, VALUES), vectors.select("id", "k", "value")
 
-    Each round takes the best vectors within the span of the block, its residuals and its last
-    steps; only the residuals are multiplied by the matrix, in one join and sum. What comes to the
-    driver are products of the block's columns, three blocks squared whatever the size. It
-    ends when the residuals |Av - lv| / |l| of the wanted pairs are within ``tolerance`` and
-    raises an error if ``iterations`` rounds do not get there. Rounds are checkpointed where
-    the session has a folder for it.
-    """
-    spark = edges.sparkSession
-    m = min(n + extra, nodes.count())
-    n = min(n, m)
-    to_all = g.mirrored(edges, "w").select(F.col("i").alias("to"), F.col("j").alias("id"), "w").repartition("id").persist()
-
-    def keep(b: DataFrame) -> DataFrame:
-        return b.checkpoint() if spark.sparkContext.getCheckpointDir() else b.persist()
-
-    def mapped(b: DataFrame, f, out: str = "id long, s array<double>, a array<double>") -> DataFrame:
-        """``f(S, A)`` of the columns s and a as matrices, a batch of rows at a time."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for p in batches:
-                if p.num_rows:
-                    x, y = (c.flatten().to_numpy().reshape(p.num_rows, -1) for c in p.columns[1:])
-                    yield from f(p.column(0), x, y)
-
-        return b.select("id", "s", "a").mapInArrow(run, out)
-
-    def lists(x: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
-
-    def products(b: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        def f(_, x, y):
-            yield pa.RecordBatch.from_arrays([lists((x.T @ x).reshape(1, -1)), lists((x.T @ y).reshape(1, -1))], names=["g", "h"])
-
-        # A row for each batch is added up in the tasks first.
-        rows = mapped(b, f, "g array<double>, h array<double>").select(F.posexplode(F.concat("g", "h")).alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
-        v = np.zeros(len(rows))
-        for r in rows:
-            v[r["at"]] = r.v
-        p = int(round((len(v) / 2) ** 0.5))
-        return v[: p * p].reshape(p, p), v[p * p :].reshape(p, p)
-
-    def times(b: DataFrame, x: str) -> DataFrame:
-        """(id, y): the matrix times the array column ``x``."""
-        width = b.select(F.size(x)).first()[0]
-        y = to_all.join(b.select("id", x), "id").groupBy(F.col("to").alias("id")).agg(F.array(*(F.sum(F.col("w") * F.col(x)[k]) for k in range(width))).alias("y"))
-        return y
-
-    def ritz(gram: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
-        val, vec = np.linalg.eigh(gram * np.outer(d, d))
-        ok = val > 1e-13 * val[-1]
-        white = d[:, None] * vec[:, ok] / np.sqrt(val[ok])
-        val, vec = np.linalg.eigh(white.T @ ((h + h.T) / 2) @ white)
-        return val[::-1][:m], white @ vec[:, ::-1][:, :m]
-
-    start = nodes.select("id", F.array(*(F.xxhash64(F.lit(seed + k), "id") / F.lit(2.0**63) for k in range(m))).alias("s"))
-    start = keep(start)
-    block = keep(start.join(times(start, "s"), "id").withColumnRenamed("y", "a"))
-    steps = 0  # columns of the last steps
-    for _ in range(iterations):
-        val, c = ritz(*products(block))
-        # The residuals follow the block; of the rest the part without the block itself is the step.
-        tail = c.copy()
-        tail[:m] = 0
-        first = c.shape[0] == m
-
-        def advance(ids, x, y, val=val, c=c, tail=tail, first=first):
-            xs, ys = x @ c, y @ c
-            step = [] if first else [x @ tail]
-            image = [] if first else [y @ tail]
-            yield pa.RecordBatch.from_arrays([ids, lists(np.hstack([xs, ys - xs * val, *step])), lists(np.hstack([ys, *image]))], names=["id", "s", "a"])
-
-        steps = 0 if first else m
-        moved = keep(mapped(block, advance))
-        residual = moved.select("id", F.slice("s", m + 1, m).alias("r"))
-        norms = residual.select(F.posexplode("r").alias("k", "r")).groupBy("k").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("e")).collect()
-        size = np.zeros(m)
-        for r in norms:
-            size[r.k] = r.e
-        if (size[:n] <= tolerance * np.abs(val[:n])).all():
-            break
-        image = F.concat(F.slice("a", 1, m), "y", F.slice("a", m + 1, steps)) if steps else F.concat("a", "y")
-        block = keep(moved.join(times(residual, "r"), "id").select("id", "s", image.alias("a")))
-    else:
-        raise RuntimeError(f"eigenvectors did not settle in {iterations} rounds")
-    values = [(k + 1, float(val[k]), float(size[k] / abs(val[k])), bool(size[k] <= ROOT_EPS * abs(val[k]))) for k in range(n)]
-    sums = moved.select(F.posexplode(F.slice("s", 1, n)).alias("k", "x")).groupBy("k").agg(F.sum("x").alias("t"), F.max_by("x", F.abs("x")).alias("big"))
-    sign = {r.k: -1.0 if (r.t if abs(r.t) > 1e-9 else r.big) < 0 else 1.0 for r in sums.collect()}  # a row for each vector
-    signed = F.array(*(F.col("s")[k] * sign[k] for k in range(n)))
-    vectors = moved.select("id", F.posexplode(signed).alias("k", "value")).select("id", (F.col("k") + 1).alias("k"), "value")
-    return spark.createDataFrame(values, "k int, eigenvalue double, residual double, converged boolean"), vectors
+
+def subspace_eigs(edges: DataFrame, nodes: DataFrame, n: int, iterations: int, seed: int, tolerance: float = ROOT_EPS) -> tuple[DataFrame, DataFrame]:
+    """``block_eigs``; the nodes are those of the edges."""
+    return block_eigs(edges, n, iterations, seed, tolerance)
 
 
 def decompose(graph: DataFrame, n: int, sigma: float | None = None, k_sigma: int | None = None, perplexity: float | None = None, order: str = "nearest") -> tuple[DataFrame, DataFrame]:
@@ -196,12 +116,16 @@ def double_centred(d: DataFrame) -> DataFrame:
 def classical_scaling(d: DataFrame, dims: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(k, eigenvalue) and (id, k, value): coordinates vector * sqrt|eigenvalue| of the centred matrix.
 
-    Needs all pairs, so the points are bounded by DRIVER_NODES; more raise an error.
+    Needs all pairs, so the points are bounded by LANDMARKS; more raise an error, as
+    ``landmark_scaling`` has no such bound. So do pairs without a distance.
     """
     spark = d.sparkSession
-    ids = [r.id for r in d.select(F.col("i").alias("id")).union(d.select("j")).distinct().orderBy("id").limit(DRIVER_NODES + 1).collect()]
-    if len(ids) > DRIVER_NODES:
-        raise ValueError(f"dense scaling is for {DRIVER_NODES} points at most; take landmarks and extend")
+    ids = [r.id for r in d.select(F.col("i").alias("id")).union(d.select("j")).distinct().orderBy("id").limit(LANDMARKS + 1).collect()]
+    if len(ids) > LANDMARKS:
+        raise ValueError(f"dense scaling is for {LANDMARKS} points at most; take landmark_scaling")
+    known = d.where("d IS NOT NULL AND NOT isnan(d)").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct().count()
+    if known < len(ids) * (len(ids) + 1) // 2:
+        raise ValueError("scaling needs a distance of every pair; take the parts of the graph one by one")
     b = collect_matrix(double_centred(d).withColumnRenamed("b", "w"), ids)
     val, vec = np.linalg.eigh(b)
     n = len(ids) if dims is None else min(dims, len(ids))
@@ -211,58 +135,115 @@ def classical_scaling(d: DataFrame, dims: int | None = None) -> tuple[DataFrame,
     return values, spark.createDataFrame([(int(i), k + 1, float(x[r, k])) for r, i in enumerate(ids) for k in range(n)], "id long, k int, value double")
 
 
+def landmark_scaling(d: DataFrame, outside: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(k, eigenvalue) and (id, k, value) of landmarks and any number of further points.
+
+    ``d(i, j, d)``, i <= j, has all pairs of landmarks, LANDMARKS at most; ``outside(query, ref, w)``
+    the distances of each further point to every landmark. Landmarks are scaled as a whole;
+    a further point is placed where its squared distances say, by one join with the
+    landmarks' table and a sum. Eigenvalues that are not positive span no axis, so there may be fewer
+    than ``dims``. Points that lack the distance to a landmark are left out. Distances between
+    points in a space of no more than ``dims`` dimensions, which the landmarks span, come out exact.
+    """
+    values, own = classical_scaling(d, dims)
+    top = values.agg(F.max("eigenvalue")).first()[0]  # a row for each dimension
+    values = values.where(F.col("eigenvalue") > 1e-9 * (top or 0.0))
+    own = own.join(F.broadcast(values), "k")
+    n = values.count()
+    sq = g.mirrored(d.where("i <> j")).groupBy(F.col("i").alias("ref")).agg(F.sum(F.col("d") * F.col("d")).alias("t"), (F.count("*") + 1).alias("m"))
+    # The inverse of the landmarks' coordinates: vector / sqrt(eigenvalue).
+    axis = own.groupBy(F.col("id").alias("ref")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", (F.col("value") / F.col("eigenvalue")).alias("x")))), lambda s: s["x"]).alias("axis"))
+    table = axis.join(sq, "ref").select("ref", "axis", (F.col("t") / F.col("m")).alias("mean"), "m")
+    # LANDMARKS rows at most.
+    far = outside.join(F.broadcast(table), "ref").withColumn("q", (F.col("mean") - F.col("w") * F.col("w")) / 2)
+    placed = far.groupBy(F.col("query").alias("id")).agg(F.array(*(F.sum(F.col("q") * F.col("axis")[k]) for k in range(n))).alias("v"), F.count("q").alias("there"), F.max("m").alias("m"))
+    placed = placed.where("there = m").select("id", F.posexplode("v").alias("k", "value")).select("id", (F.col("k") + 1).alias("k"), "value")
+    return values, own.select("id", "k", "value").unionByName(placed)
+
+
+def solve_sets(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(path, id, half, t) of ``members(path, id)``: the halves of each set by 2-means on its two leading vectors, and its relaxation time.
+
+    ``edges(path, i, j, w)`` are those within a set. t is null, and so is half, where a set has
+    fewer than three nodes or one without an edge.
+    """
+    spark = members.sparkSession
+    linked = edges.select("path", F.col("i").alias("id"), "w").union(edges.select("path", "j", "w")).groupBy("path", "id").agg(F.sum("w").alias("degree"), F.count("*").alias("links"))
+    members = blocks.kept(members.join(linked, ["path", "id"], "left"))
+    sizes = members.groupBy("path").agg(F.count("*").alias("n"), (F.sum(F.coalesce("links", F.lit(0))) / 2).alias("edges"), F.min(F.coalesce("degree", F.lit(0.0))).alias("least"))
+    sizes = blocks.kept(sizes)
+    sound = sizes.where("n >= 3 AND least > 0")
+    small = sound.where((F.col("n") <= SET_NODES) & (F.col("edges") <= SET_EDGES)).select("path")
+    large = sound.select("path").join(small, "path", "left_anti")
+
+    def solve(key, own: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(own.id.to_numpy())
+        i, j = np.searchsorted(ids, e.i), np.searchsorted(ids, e.j)
+        a = np.zeros((len(ids), len(ids)))
+        a[i, j] = a[j, i] = e.w
+        degree = a.sum(axis=1)
+        val, vec = np.linalg.eigh(a / np.sqrt(np.outer(degree, degree)))
+        t = np.inf if 1 - val[-2] <= 1e-12 else 1 / (1 - val[-2])
+        return pd.DataFrame({"path": key[0], "id": ids, "half": lloyd(vec[:, [-1, -2]], 2, seed=42).astype(np.int32), "t": t})
+
+    out = "path string, id long, half int, t double"
+    inside = edges.join(small, "path").select(F.col("path").alias("of"), "i", "j", "w")
+    done = members.join(small, "path").groupBy("path").cogroup(inside.groupBy("of")).applyInPandas(solve, out)
+    rest = members.join(sound, "path", "left_anti").select("path", "id", F.lit(None).cast("int").alias("half"), F.lit(None).cast("double").alias("t"))
+    paths = sorted(r.path for r in large.collect())  # one for each SET_NODES nodes at most
+    if not paths:
+        return done.unionByName(rest)
+    number = spark.createDataFrame([(p, n) for n, p in enumerate(paths)], "path string, set long")
+    d = members.join(number, "path").select("set", "id", "degree")
+    e = edges.join(number, "path").join(d.select("set", F.col("id").alias("i"), F.col("degree").alias("a")), ["set", "i"]).join(d.select("set", F.col("id").alias("j"), F.col("degree").alias("b")), ["set", "j"])
+    pairs, vectors = blocks.largest_eigs(e.select("set", "i", "j", (F.col("w") / F.sqrt(F.col("a") * F.col("b"))).alias("w")), 2)
+    times = [(paths[s], float("inf") if 1 - value <= 1e-12 else 1 / (1 - value)) for s, k, value, _ in pairs if k == 2]
+    points = vectors.groupBy("set", "id").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("v")).select("set", "id", F.transform("v", lambda x: x["value"]).alias("v"))
+    halves = lloyd_by_set(blocks.kept(points), 2, seed=42).join(number, "set").join(spark.createDataFrame(times, "path string, t double"), "path")
+    return done.unionByName(rest).unionByName(halves.select("path", "id", F.col("cluster").alias("half"), "t"))
+
+
 def bisect(spark: SparkSession, graph: DataFrame, sigma: float = 1.0, relaxation: float = 1.2, partition: float = 2.0) -> DataFrame:
     """(id, cluster): recursive bisection by relaxation times; clusters are numbered from 1 as they are settled.
 
     A set is split by 2-means on its two leading vectors. It is settled if it or a half
     cannot be solved or a half is empty, or if its time 1 / (1 - l2) is below ``relaxation``
     times the sum of its halves'. If one half is slower than the other by more than
-    ``partition``, the faster is settled and the slower goes on, else both go on. Subsets
-    are solved dense, so the nodes are bounded by DRIVER_NODES; more raise an error.
+    ``partition``, the faster is settled and the slower goes on, else both go on, the second
+    first. All sets of a level are solved together: small ones each in a task, larger ones
+    side by side in blocks, so there is no bound. Edges without a distance are left out.
     """
-    edges = g.fixed_affinity(graph, sigma)
-    ids = [r.id for r in edges.select(F.col("i").alias("id")).union(edges.select("j")).distinct().orderBy("id").limit(DRIVER_NODES + 1).collect()]
-    if len(ids) > DRIVER_NODES:
-        raise ValueError(f"bisection is for {DRIVER_NODES} nodes at most")
-    a = collect_matrix(edges, ids)
-
-    def solve(at: np.ndarray) -> tuple[float, np.ndarray] | None:
-        if len(at) < 3:
-            return None
-        sub = a[np.ix_(at, at)]
-        deg = sub.sum(axis=1)
-        if (deg <= 0).any():
-            return None
-        m = sub / np.sqrt(np.outer(deg, deg))
-        val, vec = np.linalg.eigh(m)
-        if 1 - val[-2] <= 1e-12:
-            return np.inf, vec[:, [-1, -2]]
-        return 1 / (1 - val[-2]), vec[:, [-1, -2]]
-
-    label, settled = np.zeros(len(ids), dtype=np.int64), 0
-    stack = [np.arange(len(ids))]
-    while stack:
-        at = stack.pop()
-        whole, halves = solve(at), None
-        if whole is not None:
-            two = lloyd(whole[1], 2, seed=42)
-            parts = [at[two == c] for c in (0, 1)]
-            if all(map(len, parts)):
-                solved = [solve(p) for p in parts]
-                if all(s is not None for s in solved):
-                    t1, t2 = solved[0][0], solved[1][0]
-                    if not whole[0] < relaxation * (t1 + t2):
-                        halves = parts, t1, t2
-        if halves is None:
-            settled += 1
-            label[at] = settled
-            continue
-        parts, t1, t2 = halves
-        slow, fast = (0, 1) if t1 >= t2 else (1, 0)
-        if max(t1, t2) > partition * min(t1, t2):
-            settled += 1
-            label[parts[fast]] = settled
-            stack.append(parts[slow])
-        else:
-            stack += parts
-    return spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, label)], "id long, cluster int")
+    edges = blocks.kept(g.fixed_affinity(graph, sigma).where("w IS NOT NULL").select(F.lit("").alias("path"), "i", "j", "w"))
+    # The path orders sets as they are settled.
+    members = edges.select("path", F.col("i").alias("id")).union(edges.select("path", "j")).distinct()
+    now = blocks.kept(solve_sets(members, edges))
+    settled = now.where("half IS NULL").select("path", "id")
+    active = now.where("half IS NOT NULL")
+    while not active.isEmpty():
+        half = active.select("path", "id", "half", "t")
+        ends = half.select("path", "id", "half")
+        inside = edges.join(ends.select("path", F.col("id").alias("i"), F.col("half").alias("a")), ["path", "i"]).join(ends.select("path", F.col("id").alias("j"), F.col("half").alias("b")), ["path", "j"])
+        child = F.concat("path", F.lit("/"), "half")
+        # A half's place is put in once it is known which goes on.
+        edges = blocks.kept(inside.where("a = b").select(F.concat("path", F.lit("/"), "a").alias("path"), "i", "j", "w"))
+        solved = blocks.kept(solve_sets(half.select(child.alias("path"), "id"), edges))
+        times = solved.groupBy("path").agg(F.max("t").alias("t"))
+        up, which = F.expr("substring(path, 1, length(path) - 2)"), F.expr("right(path, 1)")
+        both = times.groupBy(up.alias("path")).agg(F.max(F.when(which == "0", F.col("t"))).alias("t0"), F.max(F.when(which == "1", F.col("t"))).alias("t1"))
+        known = both.join(half.groupBy("path").agg(F.max("t").alias("t")), "path")
+        split = F.col("t0").isNotNull() & F.col("t1").isNotNull() & ~(F.col("t") < relaxation * (F.col("t0") + F.col("t1")))
+        one = F.greatest("t0", "t1") > partition * F.least("t0", "t1")
+        slow = F.when(F.col("t0") >= F.col("t1"), 0).otherwise(1)
+        # The half whose turn is first: the settled one, or the second of two that go on.
+        first = F.when(one, 1 - slow).otherwise(1)
+        verdict = blocks.kept(known.select("path", split.alias("split"), one.alias("one"), first.alias("first")))
+        stays = half.join(verdict.where("NOT split"), "path").select("path", "id")
+        goes = solved.withColumn("up", up).withColumn("which", which.cast("int")).join(verdict.where("split").withColumnRenamed("path", "up"), "up")
+        new = F.concat("up", F.when(F.col("which") == F.col("first"), "a").otherwise("b"))
+        goes = blocks.kept(goes.select("path", new.alias("new"), "id", "half", "t", (F.col("one") & (F.col("which") == F.col("first"))).alias("done")))
+        settled = blocks.kept(settled.unionByName(stays).unionByName(goes.where("done").select(F.col("new").alias("path"), "id")))
+        renamed = goes.where("NOT done").select("path", "new").distinct()
+        edges = blocks.kept(edges.join(renamed, "path").select(F.col("new").alias("path"), "i", "j", "w"))
+        active = goes.where("NOT done").select(F.col("new").alias("path"), "id", "half", "t")
+    number = settled.select("path").distinct().select("path", F.row_number().over(W.orderBy("path")).cast("int").alias("cluster"))  # one row for each cluster
+    return settled.join(number, "path").select("id", "cluster")

@@ -80,12 +80,15 @@ def running_median(series: DataFrame, key: str, order: list[str], value: str, wi
 
 
 def joint_pdf(labels: DataFrame, assignment: DataFrame) -> DataFrame:
-    """(replicate, cluster, p): every replicate weighs the same; all pairs of labels, zeros included."""
-    c = labels.join(assignment, "id").groupBy("replicate", "cluster").count()
+    """(replicate, cluster, p): every replicate weighs the same; all pairs of labels, zeros included.
+
+    Points whose cluster or replicate is null are left out before shares are taken, so p adds up to 1.
+    """
+    c = labels.join(assignment, "id").where("cluster IS NOT NULL AND replicate IS NOT NULL").groupBy("replicate", "cluster").count()
     r = c.withColumn("q", F.col("count") / F.sum("count").over(W.partitionBy("replicate")))
     n = r.select("replicate").distinct().agg(F.count("*").alias("n"))
     # Labels are few: the table of all their pairs is the result asked for.
-    grid = c.select("replicate").distinct().crossJoin(F.broadcast(c.select("cluster").distinct()))
+    grid = c.select("replicate").distinct().crossJoin(c.select("cluster").distinct())
     p = grid.join(r, ["replicate", "cluster"], "left").crossJoin(F.broadcast(n))
     return p.select("replicate", "cluster", (F.coalesce("q", F.lit(0.0)) / F.col("n")).alias("p"))
 

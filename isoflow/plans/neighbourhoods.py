@@ -74,6 +74,11 @@ def distance_matrix(spark, sf):
     return measured(nn.knn(vectors(spark, sf, 0), None, exclude="none")).drop("rank")
 
 
+@query(f"WITH {VEC} SELECT a.id AS src, b.id AS dst, round(list_distance(a.v, b.v), 6) + 0.0 AS dist FROM vec a JOIN vec b ON true")
+def distance_matrix_whole(spark, sf):
+    return measured(nn.knn(vectors(spark, sf), None, exclude="none")).drop("rank")
+
+
 @query()
 def knn_rmsd_fitted(spark, sf):
     own = frames(spark, sf).select(F.col("frame").alias("id"), "coords")

@@ -84,7 +84,21 @@ def smooth_amplitude(spark, sf):
     return d.select("frame", "n", r6("x").alias("angle"))
 
 
-@query()
+@query(f"""WITH {TRAJ}, {BACKBONE}, t AS (
+  SELECT frame, row_number() OVER (PARTITION BY n ORDER BY frame) - 1 AS t, n, angle FROM tors
+), size AS (
+  SELECT count(*) AS size, round_even(count(*) * (1 - 0.9::DOUBLE) / 2, 0)::BIGINT AS low FROM traj
+), bin AS (
+  SELECT unnest(range(0, size)) AS b, size, low FROM size
+), held AS (
+  SELECT b, size FROM bin WHERE b = 0 OR b < low OR b >= size - low
+), kernel AS (
+  SELECT x.b AS gap, sum(cos(2 * pi() * ((x.b * held.b) % held.size) / held.size)) AS c, sum(sin(2 * pi() * ((x.b * held.b) % held.size) / held.size)) AS s FROM bin x, held GROUP BY x.b
+), z AS (
+  SELECT a.frame, a.n, sum(cos(b.angle) * c - sin(b.angle) * s) AS re, sum(cos(b.angle) * s + sin(b.angle) * c) AS im
+  FROM t a JOIN t b ON a.n = b.n JOIN kernel ON gap = (a.t - b.t + (SELECT size FROM size)) % (SELECT size FROM size) GROUP BY a.frame, a.n
+)
+SELECT frame, n::INT AS n, round(CASE WHEN atan2(im, re) < 0 THEN atan2(im, re) + 2 * pi() ELSE atan2(im, re) END, 6) + 0.0 AS angle FROM z""")
 def smooth_frequency(spark, sf):
     angles = frames(spark, sf).select("frame", geo.backbone_torsions(F.col("coords")).alias("v"))
     d = tr.smooth_angles(angles, 90.0, "frequency").select("frame", F.posexplode("v").alias("n", "x"))
@@ -96,6 +110,14 @@ def contacts(spark, sf):
     return tr.contacts(frames(spark, sf), epsilon=1.5).select("frame", F.explode("idx").alias("feature")).select("frame", F.col("feature").cast("long").alias("feature"))
 
 
+@query(f"WITH {TRAJ}, p AS (SELECT frame, c, unnest(range(0, 21)) AS i FROM traj), q AS (SELECT frame, c, i, unnest(range(0, 21)) AS j FROM p) SELECT frame, i AS a, j AS b FROM q WHERE list_distance(c[i + 1], c[j + 1]) * 10 < 1.5")
+def contact_pairs(spark, sf):
+    """The same contacts by a join of grid cells, for structures that no row holds."""
+    atoms = frames(spark, sf).select("frame", F.posexplode("coords").alias("atom", "p"))
+    atoms = atoms.select("frame", F.col("atom").cast("long").alias("atom"), *(F.col("p")[k].alias(c) for k, c in enumerate("xyz")))
+    return tr.contact_pairs(atoms, epsilon=1.5)
+
+
 @query(f"WITH {CENTRED}, z AS (SELECT flat AS r FROM cen WHERE frame = 0) SELECT frame, round(list_distance(flat, r) / sqrt(21) * 10, 6) + 0.0 AS rmsd FROM cen, z")
 def rmsd_unfitted(spark, sf):
     ref = frames(spark, sf).where("frame = 0").first().coords  # one frame
@@ -139,6 +161,12 @@ def sample(spark, sf):
     return d.agg(F.countDistinct("frame").alias("n"), F.min(F.col("frame") >= 0).alias("within"))
 
 
+@query("SELECT vec_id AS frame FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT 50")
+def sample_by_digest(spark, sf):
+    """Fifty rows that any engine with MD5 draws alike."""
+    return tr.sample(frames(spark, sf).select("frame"), 50, "frame", digest="md5")
+
+
 @query("SELECT event_id, user_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 10 = 0")
 def downsample(spark, sf):
     d = table(spark, sf, "events").withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
@@ -186,6 +214,13 @@ def cluster_shares(spark, sf):
     return cluster.shares(labels(spark, sf)).select("cluster", "n", r6("percent").alias("percent"))
 
 
+@query(f"WITH {LABELS}, u AS (SELECT vec_id AS id, abs(embedding[1]::DOUBLE) AS uncertainty FROM embeddings) SELECT cluster, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) + 0.0 AS percent, round(avg(uncertainty), 6) + 0.0 AS uncertainty FROM lab JOIN u USING (id) GROUP BY cluster")
+def cluster_uncertainty(spark, sf):
+    """Shares with the mean uncertainty of each cluster; a component of the vector stands for a point's."""
+    u = vectors(spark, sf).select("id", F.abs(F.col("v")[0]).alias("uncertainty"))
+    return cluster.shares(labels(spark, sf).join(u, "id")).select("cluster", "n", *(r6(c).alias(c) for c in ("percent", "uncertainty")))
+
+
 MEANS = f"""{LABELS}, {VEC}, mean AS (
   SELECT cluster, k, avg(v[k]) AS x FROM (SELECT cluster, v, unnest(range(1, 65)) AS k FROM vec JOIN lab USING (id)) GROUP BY cluster, k
 ), cen AS (

@@ -29,6 +29,37 @@ def test_knn_is_brute_force(spark, metric):
     assert got == want
 
 
+@pytest.mark.parametrize("exclude", ["self", "rank0", "none"])
+@pytest.mark.parametrize("metric", ["euclidean", "correlation"])
+def test_pivots_spare_blocks_and_lose_nothing(spark, monkeypatch, metric, exclude):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.standard_normal((60, 4)) * 0.05 + rng.standard_normal(4) * 20 for _ in range(12)] + [np.ones((2, 4)), np.zeros((30, 4)) + [5, 1, 0, 0]])
+    df = vectors(spark, x)
+    want = sorted((r.src, r.dst, r["rank"], round(r.dist, 9)) for r in nn.knn(df, 5, metric=metric, exclude=exclude).collect())
+    for name, value in (("BROADCAST_NUMBERS", 0), ("PIVOTS", 40)):
+        monkeypatch.setattr(nn, name, value)
+    distance = {"euclidean": nn.euclidean_blocks, "correlation": nn.correlation_blocks}[metric]
+    sound, need = F.lit(True), 6 if exclude == "rank0" else 5
+    got = sorted((r.src, r.dst, r["rank"], round(r.dist, 9)) for r in nn.knn_join(df, None, ["v"], distance, 5, exclude, 16, 32, sound, bounded=True).collect())
+    assert got == want
+    if metric == "euclidean":
+        sides = nn.pivoted(df, df, ["v"], distance, need, exclude != "self", 32, 16)
+        n_q, sent = sides.where("kind = 0").count(), sides.where("kind = 1").count()
+        n_r = nn.pivoted(df, df, ["v"], distance, need, exclude != "self", 32, 16).where("kind = 1").select("rows").distinct().count()
+        assert sent < n_q * n_r / 5
+
+
+def test_pivots_for_structures(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((6, 5, 3))
+    rows = [(i, (base[i % 6] + 0.02 * rng.standard_normal((5, 3))).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, coords array<array<double>>")
+    want = sorted((r.src, r["rank"], round(r.dist, 6)) for r in nn.knn_rmsd(df, 4).collect())
+    monkeypatch.setattr(nn, "BROADCAST_NUMBERS", 0)
+    monkeypatch.setattr(nn, "PIVOTS", 12)
+    assert sorted((r.src, r["rank"], round(r.dist, 6)) for r in nn.knn_rmsd(df, 4).collect()) == want
+
+
 def test_knn_edges_of_the_domain(spark):
     v = vectors(spark, [[0, 0], [0, 0], [1, 0]])
     got = nn.knn(v, 10).collect()
