@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -127,6 +128,12 @@ class TokenCounter:
         return len(parts) - 1 + sum(self.ordinary(p) for p in parts if p)
 
 
+@lru_cache(maxsize=2)
+def counter_of(tokenizer: str, pattern: str) -> TokenCounter:
+    """A worker's counter, which its tasks share with all it remembers."""
+    return TokenCounter(tokenizer, pattern)
+
+
 def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit) for every row of ``docs``.
 
@@ -137,7 +144,7 @@ def token_counts(docs: DataFrame, tokenizer: str, pattern: str, limit: int = 102
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(tokenizer, pattern)
+        counter = counter_of(tokenizer, pattern)
         for b in batches:
             n = [counter.count(t.as_py() or "") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
