@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold
+from .common import cut, fold
 
 PLACES = 1 << 20
 #: Bound of the labelled sample that is fitted, in one task.
@@ -105,9 +105,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["at", "w"])
 
-    rows = texts.mapInArrow(features, "at array<int>, y int, h long")
+    # Features of few rows are left out here, so the one task gets no more than those that can have a weight.
+    rows = cut(texts.mapInArrow(features, "at array<int>, y int, h long").withColumn("n", F.monotonically_increasing_id()))
+    long = rows.select("n", F.explode("at").alias("at"))
+    known = long.join(long.groupBy("at").count().where(F.col("count") >= LEAST_ROWS).select("at"), "at").groupBy("n").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    rows = rows.drop("at").join(known, "n", "left").select(F.coalesce("at", F.array().cast("array<int>")).alias("at"), "y", "h", "n")
     # PLACES rows at most, few of them not 0.
-    model = rows.repartition(1).sortWithinPartitions("h", "y").mapInArrow(train, "at long, w double").collect()
+    model = rows.repartition(1).sortWithinPartitions("h", "y", "n").mapInArrow(train, "at long, w double").collect()
     model.sort()
     return np.array([r.at for r in model], dtype=np.int64), np.array([r.w for r in model], dtype=np.float64)
 
