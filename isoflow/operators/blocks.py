@@ -10,6 +10,7 @@ products of a few columns. Several matrices can be solved side by side, told apa
 from __future__ import annotations
 
 import math
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -27,15 +28,21 @@ FEW_BLOCKS = 64
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` written as a table to the session's checkpoint folder, or held in memory if it has none.
+    """``df`` written as a table to the session's checkpoint folder.
 
     Unlike ``checkpoint`` a table does not carry the estimated sizes of what it was made from
-    along, which multiply with every join of a loop.
+    along, which multiply with every join of a loop. On one machine, as in tests, a session
+    without a folder gets a temporary one; on a cluster the rows are held in memory then.
     """
     spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None and sc.master.startswith("local"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="isoflow-"))
+    folder = sc.getCheckpointDir()
     if not folder:
-        return df.persist()
+        df = df.persist()
+        df.count()
+        return df
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

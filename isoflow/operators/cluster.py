@@ -10,6 +10,9 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .blocks import kept
+from .trajectory import rekey
+
 
 def coordinates(vectors: DataFrame, dims: int) -> DataFrame:
     """(id, v) from (id, k, value): the first ``dims`` values as an array."""
@@ -18,10 +21,18 @@ def coordinates(vectors: DataFrame, dims: int) -> DataFrame:
 
 
 def canonical_labels(labels: DataFrame) -> DataFrame:
-    """(id, cluster): clusters renumbered from 1 by their median id."""
-    med = labels.groupBy("cluster").agg(F.percentile("id", 0.5).alias("m"), F.min("id").alias("low"))
+    """(id, cluster): clusters renumbered from 1 by their median id.
+
+    Rows are numbered by cluster and id range by range, and the middle ones looked up, so no
+    task holds a cluster. Points without an id or a cluster are left out.
+    """
+    own = kept(labels.where("id IS NOT NULL AND cluster IS NOT NULL").select("id", "cluster"))
+    at = kept(rekey(own.select("id", "cluster", F.struct("cluster", "id").alias("order")), "order", "at").select("id", "cluster", "at"))
+    sizes = at.groupBy("cluster").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min("id").alias("low"))
+    middle = sizes.select("cluster", "low", F.explode(F.array(F.col("first") + F.floor((F.col("n") - 1) / 2), F.col("first") + F.ceil((F.col("n") - 1) / 2))).alias("at"))
+    med = middle.join(at.select("at", "id"), "at").groupBy("cluster", "low").agg(F.avg("id").alias("m"))
     new = med.select("cluster", F.row_number().over(W.orderBy("m", "low")).cast("int").alias("new"))  # one row for each cluster
-    return labels.join(F.broadcast(new), "cluster").select("id", F.col("new").alias("cluster"))
+    return own.join(new, "cluster").select("id", F.col("new").alias("cluster"))
 
 
 def kmeans(points: DataFrame, k: int, starts: int = 10, max_iter: int = 30, seed: int = 0) -> DataFrame:
@@ -30,7 +41,7 @@ def kmeans(points: DataFrame, k: int, starts: int = 10, max_iter: int = 30, seed
         raise ValueError("k must be 2 or more")
     if points.isEmpty():
         return points.select("id", F.lit(None).cast("int").alias("cluster"))
-    p = points.select("id", array_to_vector("v").alias("features")).persist()
+    p = kept(points.select("id", "v")).select("id", array_to_vector("v").alias("features"))
     runs = [KMeans(k=k, seed=seed + s, maxIter=max_iter).fit(p) for s in range(starts)]
     best = min(runs, key=lambda m: m.summary.trainingCost)
     return canonical_labels(best.transform(p).select("id", F.col("prediction").alias("cluster")))
@@ -40,7 +51,7 @@ def gaussian_mixture(points: DataFrame, k: int, seed: int = 0, max_iter: int = 1
     """(id, cluster, uncertainty): full-covariance mixture; uncertainty is 1 minus the largest posterior."""
     if points.isEmpty():
         return points.select("id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("uncertainty"))
-    p = points.select("id", array_to_vector("v").alias("features")).persist()
+    p = kept(points.select("id", "v")).select("id", array_to_vector("v").alias("features"))
     out = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(p).transform(p)
     out = out.select("id", F.col("prediction").alias("cluster"), (1 - F.array_max(vector_to_array("probability"))).alias("uncertainty"))
     return canonical_labels(out.select("id", "cluster")).join(out.drop("cluster"), "id")
@@ -160,5 +171,5 @@ def representatives(points: DataFrame, labels: DataFrame) -> DataFrame:
     """(cluster, id): the point nearest to its cluster's mean, the first on ties."""
     sq = F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     means = centroids(points, labels).withColumnRenamed("v", "c")
-    d = points.join(labels, "id").join(F.broadcast(means), "cluster").select("cluster", "id", sq.alias("d"))
+    d = points.join(labels, "id").join(means, "cluster").select("cluster", "id", sq.alias("d"))
     return d.groupBy("cluster").agg(F.min_by("id", F.struct("d", "id")).alias("id"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import graph as g, knn as nn, stats
-from .inputs import GRAPH, K, K_SIGMA, KNN, LANDMARKS, PERPLEXITY, SIGMA, VEC, frames, query, r6, sparse_vectors, vectors
+from ..operators import graph as g, knn as nn, sparse_index, stats
+from ..operators.blocks import kept
+from .inputs import GRAPH, K, K_SIGMA, KNN, LANDMARKS, ORACLE, PERPLEXITY, SIGMA, VEC, frames, query, r6, sparse_vectors, vectors
 
 MEASURED = "SELECT src, dst, rank, round(dist, 6) + 0.0 AS dist FROM knn"
 
@@ -20,12 +21,12 @@ def edges(spark, sf) -> DataFrame:
 
 def graph(spark, sf) -> DataFrame:
     # Bandwidths, affinities and degrees all read it.
-    return g.symmetric_graph(edges(spark, sf)).persist()
+    return kept(g.symmetric_graph(edges(spark, sf)))
 
 
 def landmark_parts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Graph, bandwidths and affinities of the landmarks."""
-    own = g.symmetric_graph(nn.knn(vectors(spark, sf, 0), K)).persist()
+    own = kept(g.symmetric_graph(nn.knn(vectors(spark, sf, 0), K)))
     s = g.local_sigma(own, K_SIGMA)
     return own, s, g.local_affinity(own, s)
 
@@ -64,6 +65,11 @@ def knn_sparse(spark, sf):
     return measured(nn.knn_sparse(sparse_vectors(spark, sf), K))
 
 
+@query(ORACLE["knn_sparse"])
+def knn_sparse_indexed(spark, sf):
+    return measured(sparse_index.knn_sparse_indexed(sparse_vectors(spark, sf), K))
+
+
 @query(ranked_sql(VEC, "list_distance(a.v, b.v)", "FROM vec a JOIN vec b ON a.id % 2 = 1 AND b.id % 2 = 0", f"rank BETWEEN 2 AND {K + 1}") + "SELECT src, dst, rank - 1 AS rank, round(dist, 6) + 0.0 AS dist FROM knn")
 def knn_rank0_excluded(spark, sf):
     return measured(nn.knn(vectors(spark, sf, 0), K, vectors(spark, sf, 1), exclude="rank0"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import cluster, graph as g, knn as nn, paths, spectral
+from ..operators import cluster, graph as g, knn as nn, mixture, paths, spectral
+from ..operators.blocks import kept
 from .inputs import GRAPH, K, K_SIGMA, LANDMARKS, SIGMA, VEC, query, r6, vectors
 from .neighbourhoods import graph, outside_edges
 
@@ -30,7 +31,7 @@ def leading_eigenvector(spark, sf):
 
 @query(f"WITH {LANDMARKS}, v AS (SELECT id, sqrt(degree / sum(degree) OVER ()) AS v FROM deg) SELECT query AS id, round(sum(w * v), 6) + 0.0 AS value FROM ol JOIN v ON v.id = ref GROUP BY query")
 def extended_eigenvector(spark, sf):
-    own = g.symmetric_graph(nn.knn(vectors(spark, sf, 0), K)).persist()
+    own = kept(g.symmetric_graph(nn.knn(vectors(spark, sf, 0), K)))
     out = spectral.decompose_outside(own, outside_edges(spark, sf), 2, k_sigma=K_SIGMA)[2]
     return out.where("k = 1").select("id", r6("value").alias("value"))
 
@@ -136,10 +137,10 @@ def hop_paths(spark, sf):
 @query(f"""WITH RECURSIVE {GRAPH}, r(i, j, x, n) AS (
   SELECT id, id, 0.0::DOUBLE, 0 FROM vec
   UNION ALL SELECT i, j, min(x), n FROM (SELECT r.i, m.j, r.x + m.d AS x, r.n + 1 AS n FROM r JOIN m ON m.i = r.j WHERE r.n < 40) GROUP BY i, j, n
-), s AS (
+), least_path AS (
   SELECT i, j, min(x) AS d FROM r GROUP BY i, j
 )
-SELECT a.id AS i, b.id AS j, round(d, 6) + 0.0 AS d FROM vec a JOIN vec b ON a.id <= b.id LEFT JOIN s ON s.i = a.id AND s.j = b.id""")
+SELECT a.id AS i, b.id AS j, round(d, 6) + 0.0 AS d FROM vec a JOIN vec b ON a.id <= b.id LEFT JOIN least_path p ON p.i = a.id AND p.j = b.id""")
 def shortest_paths(spark, sf):
     return paths.all_pairs(graph(spark, sf)).select("i", "j", r6("d").alias("d"))
 
@@ -161,6 +162,19 @@ def spectral_mixture(spark, sf):
     return cluster.gaussian_mixture(points(spark, sf), 3).select("id", "cluster", r6("uncertainty").alias("uncertainty"))
 
 
+@query()
+def spectral_kmeans_exchange(spark, sf):
+    """Clusters that no move of a single point would improve."""
+    return mixture.exchange_kmeans(points(spark, sf), 4, starts=3)
+
+
+@query()
+def spectral_mixture_family(spark, sf):
+    """The mixture whose covariance family has the largest BIC."""
+    out, family, _ = mixture.mixture(points(spark, sf), 3)
+    return out.select("id", "cluster", r6("uncertainty").alias("uncertainty"), F.lit(family).alias("family"))
+
+
 @query()
 def spectral_bisection(spark, sf):
     return spectral.bisect(spark, graph(spark, sf), sigma=0.5)

@@ -10,6 +10,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.blocks import kept
+from ..operators.trajectory import rekey
+
 PART_BYTES = 64 << 20
 
 
@@ -92,9 +95,14 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
 
 
 def group_lines(labels: DataFrame, per_line: int = 20) -> DataFrame:
-    """(value): an index file of (id, cluster), ids from 1, ``per_line`` on a line (K6); write it with ``.write.text``."""
-    c = labels.groupBy("cluster").agg(F.sort_array(F.collect_list((F.col("id") + 1).cast("string").cast("long"))).alias("ids"))
-    n = F.ceil(F.size("ids") / per_line).cast("int")
-    lines = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice("ids", k * per_line + 1, per_line), " "))
-    head = F.concat(F.lit("[cluster_"), F.col("cluster").cast("string"), F.lit("]"))
-    return c.orderBy("cluster").select(F.concat_ws("\n", head, lines).alias("value"))
+    """(value): the lines of an index file of (id, cluster), ids from 1, ``per_line`` on a line (K6); write it with ``.write.text``.
+
+    Ids are numbered within their cluster range by range, so a row holds one line.
+    """
+    at = kept(rekey(labels.select("id", "cluster", F.struct("cluster", "id").alias("order")), "order", "at").select("id", "cluster", "at"))
+    first = at.groupBy("cluster").agg(F.min("at").alias("first"))
+    line = F.floor((F.col("at") - F.col("first")) / per_line)
+    lines = at.join(first, "cluster").groupBy("cluster", line.alias("line")).agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("ids"))
+    lines = lines.select("cluster", "line", F.array_join(F.transform("ids", lambda x: (x["id"] + 1).cast("string")), " ").alias("value"))
+    head = first.select("cluster", F.lit(-1).cast("long").alias("line"), F.concat(F.lit("[cluster_"), F.col("cluster").cast("string"), F.lit("]")).alias("value"))
+    return head.unionByName(lines).orderBy("cluster", "line").select("value")
