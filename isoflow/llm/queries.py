@@ -203,5 +203,82 @@ WITH t AS (
   SELECT lang, count(*) AS n FROM u GROUP BY lang
 )
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM c JOIN n USING (lang) QUALIFY rank <= 2000
+""",
+    "op13_importance": r"""
+WITH tab AS (
+  SELECT list_transform(range(0, 16), lambda i: list_reduce([i, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) AS t
+), src AS (
+  SELECT doc_id, true AS own, text FROM documents UNION ALL SELECT NULL, false, text FROM benchmark
+), w AS (
+  SELECT row_number() OVER () AS r, doc_id, own, coalesce(list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), []) AS w FROM src
+), i AS (
+  SELECT r, own, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0
+), f AS (
+  SELECT r, own, w[i] AS f FROM i
+  UNION ALL SELECT r, own, w[i] || ' ' || w[i + 1] FROM i WHERE i + 1 <= len(w)
+  UNION ALL SELECT r, own, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM i WHERE i + 2 <= len(w)
+), g AS (
+  SELECT r, own, f, count(*) AS n FROM f GROUP BY ALL
+), h AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM g)
+), c AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h)), lambda k: strpos('0123456789ABCDEF', substr(h, k // 2 * 2 + 2 - k % 2, 1)) - 1)), lambda s, x: xor(t[(xor(s, x) & 15) + 1], s >> 4)), 4294967295) % 10000 AS b FROM h, tab
+), p AS (
+  SELECT r, own, b, sum(n) AS n FROM g JOIN c USING (f) GROUP BY ALL
+), k AS (
+  SELECT b, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t FROM p GROUP BY b
+), gain AS (
+  SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM k) + 10000) / ((s + 1) * ((SELECT sum(t) FROM k) + 10000))))::BIGINT AS gain FROM k
+), d AS (
+  SELECT r, sum(n * gain)::BIGINT AS weight, sum(n)::BIGINT AS n FROM p JOIN gain USING (b) WHERE own GROUP BY r
+), s AS (
+  SELECT w.r, doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    list_reduce(list_transform(range(1, 9), lambda k: strpos('0123456789abcdef', substr(sha256('42:' || coalesce(doc_id::VARCHAR, 'null')), k, 1)) - 1), lambda a, x: a * 16 + x) AS h
+  FROM w LEFT JOIN d ON d.r = w.r WHERE own
+), o AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM s
+), q AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place FROM o WHERE words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM q) THEN place END AS rank FROM o LEFT JOIN q ON q.r = o.r
+""",
+    "op7_chat_windows": r"""
+WITH RECURSIVE src AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS n, ceil(length(text) / 4)::BIGINT + 4 AS cost,
+    length(text) + length(text) - length(replace(text, '\', '')) + length(text) - length(replace(text, '<', '')) AS body,
+    CASE WHEN role IS NULL THEN 2 ELSE length(role) + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, '<', '')) + length(role) - length(replace(role, '>', '')) END AS tag
+  FROM src
+), t AS (
+  SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY n) AS upto, 12 + length(n::VARCHAR) + tag + body + 8 AS chars,
+    lag(cost, 1) OVER w AS cost1, lag(cost, 2) OVER w AS cost2,
+    max(CASE WHEN n = 1 AND role = 'system' THEN cost END) OVER (PARTITION BY conv_id) AS system
+  FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY n)
+), h AS (
+  SELECT *, CASE WHEN n - 1 > (system IS NOT NULL)::INT AND cost1 <= 128 THEN 1 + (n - 2 > (system IS NOT NULL)::INT AND cost1 + cost2 <= 128)::INT ELSE 0 END AS h FROM t
+), k AS (
+  SELECT *, CASE h WHEN 0 THEN 0 WHEN 1 THEN cost1 ELSE cost1 + cost2 END AS kept FROM h
+), f AS (
+  SELECT * REPLACE (CASE WHEN cost + kept + coalesce(system, 0) <= 512 THEN h ELSE 0 END AS h, CASE WHEN cost + kept + coalesce(system, 0) <= 512 THEN kept ELSE 0 END AS kept) FROM k
+), r(conv_id, n, base, room, fresh) AS (
+  SELECT conv_id, 1::BIGINT, 0::BIGINT, 512::BIGINT, false FROM f WHERE n = 1
+  UNION ALL
+  SELECT r.conv_id, f.n, CASE WHEN f.upto - r.base > r.room THEN f.upto - f.cost ELSE r.base END::BIGINT,
+    CASE WHEN f.upto - r.base > r.room THEN 512 - coalesce(f.system, 0) - f.kept ELSE r.room END::BIGINT, f.upto - r.base > r.room
+  FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.n = r.n + 1
+), again AS (
+  SELECT f.conv_id, f.h, f.n, f.system FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.n = r.n WHERE fresh
+), old AS (
+  SELECT a.conv_id, sum(t.chars) AS chars FROM again a JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id AND (t.n >= a.n - a.h AND t.n < a.n OR t.n = 1 AND a.system IS NOT NULL) GROUP BY a.conv_id
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY n) AS told,
+    coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars
+  FROM t GROUP BY conv_id
+)
+SELECT g.conv_id, n_turns, sha256(told) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (g.chars + coalesce(old.chars, 0))::BIGINT AS formatted_chars
+FROM g LEFT JOIN old ON old.conv_id IS NOT DISTINCT FROM g.conv_id
 """,
 }
