@@ -89,7 +89,8 @@ def pivoted(ref: DataFrame, query: DataFrame, cols: list[str], distance: Distanc
     Rows go to the nearest of some pivots, so blocks are close together. A reference block
     knows how near and how far from its pivot its rows are; a query's distance to that
     pivot then bounds its distance to all of them. A query needs no block that is further
-    than its ``need`` nearest pivots. Pivots are references themselves, PIVOTS at most.
+    than its ``need`` nearest pivots, or than so many rows of the first block of its own cell.
+    Pivots are references themselves, PIVOTS at most.
     """
     spark = ref.sparkSession
     some = ref.orderBy(F.xxhash64("id"), "id").limit(PIVOTS)
@@ -125,21 +126,30 @@ def pivoted(ref: DataFrame, query: DataFrame, cols: list[str], distance: Distanc
                 _, own = members(x.values, cols)
                 _, parts = members(sent.value.values, cols)
                 d = distance(own, [p.slice(cell, 1) for p in parts])
-                yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([block]), pa.array([d.min()]), pa.array([d.max()])], names=["cell", "block", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([block]), pa.array([d.min()]), pa.array([d.max()])], names=["cell", "block", "low", "high"])
 
     # Four numbers for each block of ref_rows rows.
     spread = refs.select("cell", "block", "rows").mapInArrow(measure, "cell int, block long, low double, high double").toArrow()
     ranges = spark.sparkContext.broadcast(tuple(spread.column(c).to_numpy() for c in ("cell", "block", "low", "high")))
 
+    def bound(d: np.ndarray, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The ``need``-th least distance of each query to some references; infinite if they are too few."""
+        if need > d.shape[1]:
+            return np.full(len(d), np.inf)
+        other = np.where(np.isnan(d) | (False if own_counts else own[:, None] == ids[None, :]), np.inf, d)
+        return np.partition(other, need - 1, axis=1)[:, need - 1]
+
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, parts = members(sent.value.values, cols)
         cell, block, low, high = ranges.value
         for b in batches:
-            for q_block, x in zip(b.column(0).to_pylist(), b.column(1)):
+            for q_block, x, home in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 own, fields = members(x.values, cols)
                 d = distance(fields, parts)
-                other = np.where(np.isnan(d) | (False if own_counts else own[:, None] == ids[None, :]), np.inf, d)
-                most = np.partition(other, need - 1, axis=1)[:, need - 1] if need <= other.shape[1] else np.full(len(own), np.inf)
+                most = bound(d, own, ids)
+                if home.is_valid:
+                    there, rows_ = members(home.values, cols)
+                    most = np.minimum(most, bound(distance(fields, rows_), own, there))
                 near = np.zeros(len(block), dtype=bool)
                 for a in range(0, len(block), 4096):  # blocks of references at once
                     z = slice(a, a + 4096)
@@ -149,7 +159,8 @@ def pivoted(ref: DataFrame, query: DataFrame, cols: list[str], distance: Distanc
                     near[z] = (least <= most[:, None]).any(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(near.sum(), q_block)), pa.array(block[near])], names=["q_block", "block"])
 
-    pairs = queries.select("block", "rows").mapInArrow(wanted, "q_block long, block long")
+    home = refs.where("chunk = 0").select("cell", F.col("rows").alias("home"))
+    pairs = queries.join(home, "cell", "left").select("block", "rows", "home").mapInArrow(wanted, "q_block long, block long")
     sent_refs = pairs.join(refs.select("block", "rows"), "block").select("q_block", F.lit(1).alias("kind"), "rows")
     both = sent_refs.unionByName(queries.select(F.col("block").alias("q_block"), F.lit(0).alias("kind"), "rows"))
     return both.repartition("q_block").sortWithinPartitions("q_block", "kind")
