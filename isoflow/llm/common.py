@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters that end a word: space and tab to carriage return.
@@ -48,3 +50,15 @@ def lower_ascii(text: Column) -> Column:
 def fold(doc_id: Column) -> Column:
     """crc32(id as text) mod 5; rows with 0 are held out of every fit."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
+
+
+def released(run):
+    """``run``, a function of Arrow batches, that gives its memory back when it ends; workers stay for other tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return whole

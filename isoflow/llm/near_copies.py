@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .cells import CELL, deal_cells, whole_groups
-from .common import cut
+from .common import cut, released
 from .components import connected_components, local_roots
 from .simhash import majority, shingle_hashes, simhash_links
 
@@ -33,7 +33,7 @@ BROADCAST_ROWS = 500_000
 #: Texts of a shingle that are written as pairs; rows of a longer list that one task compares at once.
 LIST_ROWS, CELL_ROWS = 32, 512
 #: Sets of shingles that a task remembers to have written; forgotten ones are written again and dropped later.
-WRITTEN = 1_000_000
+WRITTEN = 200_000
 
 
 def text_hash(text_col: str):
@@ -55,7 +55,7 @@ def common_shingles(docs: DataFrame, text_col: str, words: int) -> tuple[np.ndar
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["s"])
 
-    rows = some.mapInArrow(run, "s long").groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    rows = some.mapInArrow(released(run), "s long").groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(COMMON).collect()
     s = np.array([r.s for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(s)
     return s[order], np.array([r["count"] for r in rows], dtype=np.int64)[order]
@@ -115,7 +115,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int, similarity
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, pa.array(sizes, pa.int64()), pa.array(parities, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "h", "key", "fp", "n", "parity", "prefix"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, h string, key long, fp long, n long, parity binary, prefix array<long>")
+    return rows.mapInArrow(released(run), "id long, h string, key long, fp long, n long, parity binary, prefix array<long>")
 
 
 def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +204,7 @@ def possible(lists: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame
             yield from table.select(["s", "key"]).filter(keep).combine_chunks().to_batches()
 
     rows = lists.select("s", "key", "n", "c").join(nodes.select("key", "parity"), "key")
-    return deal_cells(rows, ["s"], "key", CELL_ROWS).mapInArrow(run, "s long, key long").distinct()
+    return deal_cells(rows, ["s"], "key", CELL_ROWS).mapInArrow(released(run), "s long, key long").distinct()
 
 
 def list_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
@@ -227,8 +227,8 @@ def list_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: st
                 key = table.column("key").to_numpy()[a:b]
                 yield pa.RecordBatch.from_arrays([pa.array(key[x]), pa.array(key[root[x]])], names=["u", "v"])
 
-    sets = texts_of(lists.select("key").distinct(), nodes, docs, text_col).mapInArrow(hashed, "key long, hashes array<long>")
-    return deal_cells(lists.select("s", "key").join(cut(sets), "key"), ["s"], "key", CELL_ROWS).mapInArrow(compare, "u long, v long")
+    sets = texts_of(lists.select("key").distinct(), nodes, docs, text_col).mapInArrow(released(hashed), "key long, hashes array<long>")
+    return deal_cells(lists.select("s", "key").join(cut(sets), "key"), ["s"], "key", CELL_ROWS).mapInArrow(released(compare), "u long, v long")
 
 
 def close_enough(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -244,7 +244,7 @@ def close_enough(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
     x = nodes.select(F.col("key").alias("u"), F.col("parity").alias("x"), F.col("n").alias("a"))
     y = nodes.select(F.col("key").alias("v"), F.col("parity").alias("y"), F.col("n").alias("b"))
     both = pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y", (F.col("a") + F.col("b")).alias("n"))
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(released(run), "u long, v long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
@@ -262,7 +262,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
 
     texts = cut(texts_of(pairs.select(F.col("u").alias("key")).union(pairs.select("v")).distinct(), nodes, docs, text_col))
     both = pairs.join(texts.select(F.col("key").alias("u"), F.col("t").alias("x")), "u").join(texts.select(F.col("key").alias("v"), F.col("t").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "x", "y").mapInArrow(released(run), "u long, v long")
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 4) -> DataFrame:
@@ -283,7 +283,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # Dealt once by shingle; most shingles of a prefix stand in one text only and go at once.
     lists = rows.select("key", F.explode("prefix").alias("s")).repartition("s").sortWithinPartitions("s", "key")
-    lists = cut(lists.select("s", "key").mapInArrow(repeated, "s long, key long"))
+    lists = cut(lists.select("s", "key").mapInArrow(released(repeated), "s long, key long"))
     found = connected_components(near)
     facts = nodes.select("key", F.col("n").cast("int").alias("n")).join(found, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("component", "key").alias("c"))
     lists = lists.join(facts, "key")
