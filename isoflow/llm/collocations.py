@@ -22,7 +22,7 @@ from .importance import packed, unpacked
 from .ranks import numbered
 
 #: Words of a block; frequent pairs that every task may hold.
-BLOCK_WORDS, HELD_PAIRS = 2_000_000, 2_000_000
+BLOCK_WORDS, HELD_PAIRS = 1_000_000, 2_000_000
 #: Parts in which a language's best phrases are found before they meet.
 PARTS = 64
 #: A-Z become a-z, ends of pieces a line feed, tabs a space.
