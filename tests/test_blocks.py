@@ -1,12 +1,15 @@
 """Eigenpairs by blocks, bisection by levels, landmark scaling and shortest paths, against dense versions."""
 
 import heapq
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from isoflow.operators import blocks, cluster, graph as g, knn as nn, paths, spectral
+from isoflow.plans.registry import ORACLE, QUERIES
 
 
 def vectors(spark, x):
@@ -56,6 +59,28 @@ def test_sets_are_solved_side_by_side(spark):
     assert len(norms) == 6 and all(r.n == pytest.approx(1) for r in norms)
 
 
+@pytest.mark.parametrize("aim", [1e-13, 0.0])
+def test_an_aim_gives_exact_vectors_and_may_be_out_of_reach(spark, aim):
+    x = np.random.default_rng(3).standard_normal((150, 3))
+    a = g.fixed_affinity(g.symmetric_graph(nn.knn(vectors(spark, x), 7)), 0.9).persist()
+    want = {r.id: r.degree for r in g.degrees(a).collect()}
+    total = sum(want.values())
+    values, vecs = spectral.block_eigs(g.normalised(a), 1, aim=aim)
+    got = {r.id: r.value for r in vecs.collect()}
+    assert values.first().converged and got.keys() == want.keys()
+    assert max(abs(got[i] - (d / total) ** 0.5) for i, d in want.items()) < 1e-12
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_first_vector_equals_sql_where_a_value_is_near_a_tie(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
+    want = {k: round(v * 1e6) for k, v in con.execute(ORACLE["leading_eigenvector_fixed"]).fetchall()}
+    got = {r.id: round(r.value * 1e6) for r in QUERIES["leading_eigenvector_fixed"](spark, sf).collect()}
+    assert got == want
+
+
 def test_rounds_run_out(spark):
     x = np.random.default_rng(8).standard_normal((60, 2))
     own = g.symmetric_graph(nn.knn(vectors(spark, x), 6))
