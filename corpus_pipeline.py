@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from isoflow.llm import decontam, langid, mixing, near_copies, sstable
-from isoflow.llm.common import fresh_path
+from isoflow.llm.common import fresh_path, shuffles_dropped
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +29,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     that repeat its id and text the least in the order of the columns stays. Empty and null
     texts are one group. Further columns stay if they can be ordered.
     """
-    found = near_copies.near_copy_groups(docs)
+    with shuffles_dropped(spark):
+        found = near_copies.near_copy_groups(docs)
     # The rows of a group are first reduced where they are read, so no group is large.
     best = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("b"))
-    best = best.select(F.col("b.id").alias("best_id"), F.col("b.h").alias("best_h"))
-    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), near_copies.text_hash("text").alias("h"))
-    own = own.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("h") == F.col("best_h")), "left_semi")
-    return own.groupBy("id", "h").agg(F.min("row").alias("row")).select("row.*")
+    # The join and the groups have the same keys, none of them null, so whole rows are shuffled once.
+    keys = lambda id_, h: (id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), h.alias("h"))
+    best = best.select(*keys(F.col("b.id"), F.col("b.h")))
+    own = docs.select(F.struct("*").alias("row"), *keys(F.col("doc_id").cast("long"), near_copies.text_hash("text")))
+    own = own.join(best, ["none", "id", "h"], "left_semi")
+    return own.groupBy("none", "id", "h").agg(F.min("row").alias("row")).select("row.*")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

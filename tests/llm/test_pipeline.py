@@ -1,6 +1,8 @@
 """The corpus pipeline and its near-copy stage against brute force."""
 
 import hashlib
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from isoflow.llm import langid, near_copies
+from isoflow.llm.common import shuffles_dropped
 
 DOC = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -177,3 +180,25 @@ def test_similar_sets():
     i, j = near_copies.similar(sets, 0.8)
     want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if jaccard(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8}
     assert set(zip(i.tolist(), j.tolist())) == want and (40, 41) in want
+
+
+def test_dedup_shuffles_whole_rows_once(spark, capsys):
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows_of(["one two three", "four"]), DOC), "")
+    capsys.readouterr()
+    out.explain("formatted")
+    found = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out, re.M)
+    assert sum("row#" in x for x in found) == 1
+
+
+def test_shuffle_files_go_as_queries_end(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b for b in disk.getAllBlocks().mkString(",").split(",") if b.startswith("shuffle")}
+    before = shuffles()
+    with shuffles_dropped(spark):
+        assert spark.range(1000).repartition(4, "id").groupBy(F.col("id") % 10).count().checkpoint().count() == 10
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
