@@ -55,8 +55,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token ids as shards and returns a digest of each row read back, null ids first; an empty table gives none."""
-    return sstable.token_digests(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    """Writes the token ids as shards and returns a digest of each row read back, null ids first; an empty table gives none.
+
+    Workers forget the chunks they met, as what they hold from the stages before leaves little memory.
+    """
+    return sstable.token_digests(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, remember=False)
 
 
 STAGES = [

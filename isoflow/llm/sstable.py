@@ -37,7 +37,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import cut, fresh_path
+from .common import cut, fresh_path, released
 
 MAGIC = b"SSTIDS01"
 FOOTER, FOOTER_BYTES = "<QQQQQQIIQ", 64
@@ -270,6 +270,9 @@ class TextEncoder:
                     self.young[w] = v
         self.learn(new)
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         split, whole = [], []
@@ -306,7 +309,7 @@ def shared_encoder(path: str, end_id: int) -> TextEncoder:
     return TextEncoder(path, end_id)
 
 
-def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, remember: bool = True) -> DataFrame:
     """Encodes every text and writes shards under ``path`` in ascending order of id, nulls first.
 
     Returns (shard, n_docs, n_ids), a row for each file, in the order of their names.
@@ -314,7 +317,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     special ids, as is the library's default. ``end_id`` is appended to every document;
     null texts count as empty; rows of equal id are all kept, in the order of a hash of their
     texts, and numbered within the task that has them. A file gets its final name when it is whole, so a task that
-    runs again replaces what it wrote. An empty table writes no file.
+    runs again replaces what it wrote. An empty table writes no file. With ``remember`` the
+    chunks that a worker met stay for its next task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,6 +352,8 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     if writer.size() >= shard_bytes:
                         close()
         close()
+        if not remember:
+            encoder.forget()
         yield pa.RecordBatch.from_pydict({"shard": [d[0] for d in done], "n_docs": pa.array([d[1] for d in done], pa.int64()), "n_ids": pa.array([d[2] for d in done], pa.int64())}, schema=pa.schema([("shard", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -356,36 +362,42 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = F.col("id").asc_nulls_first(), F.col("h")
     rows = rows.repartitionByRange(min(MAX_TASKS, math.ceil(size / TASK_BYTES) + 1), *order).sortWithinPartitions(*order, "text")
-    return cut(rows.mapInArrow(run, "shard string, n_docs long, n_ids long"))
-
+    return cut(rows.mapInArrow(released(run), "shard string, n_docs long, n_ids long"))
 
-def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, id, place, ids): every document in the shards; place counts the ids before it in its shard."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column(0), b.column(1)):
-                data = content.as_buffer().to_pybytes()
-                reader = ShardReader(lambda a, n, data=data: data[a : a + n], len(data))
-                ids, places, values = [], [], []
-                for i, p, v in reader:
-                    ids.append(i)
-                    places.append(p)
-                    values.append(v)
-                    if len(ids) == 512:
-                        yield rows(name.as_py(), ids, places, values)
-                        ids, places, values = [], [], []
-                if ids:
-                    yield rows(name.as_py(), ids, places, values)
+def shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, id, place, ids) from rows (shard, content)."""
 
     def rows(name: str, ids: list, places: list, values: list) -> pa.RecordBatch:
         offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values).astype(np.int32)))
         return pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(ids, pa.int64()), pa.array(places, pa.int64()), lists], names=["shard", "id", "place", "ids"])
 
+    for b in batches:
+        for name, content in zip(b.column(0), b.column(1)):
+            data = content.as_buffer().to_pybytes()
+            reader = ShardReader(lambda a, n, data=data: data[a : a + n], len(data))
+            ids, places, values = [], [], []
+            for i, p, v in reader:
+                ids.append(i)
+                places.append(p)
+                values.append(v)
+                if len(ids) == 512:
+                    yield rows(name.as_py(), ids, places, values)
+                    ids, places, values = [], [], []
+            if ids:
+                yield rows(name.as_py(), ids, places, values)
+
+
+def shard_files(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, content) of the shards."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.sst").load(path)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
-    return files.mapInArrow(run, "shard string, id long, place long, ids array<int>")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
+
+
+def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, id, place, ids): every document in the shards; place counts the ids before it in its shard."""
+    return shard_files(spark, path).mapInArrow(shard_rows, "shard string, id long, place long, ids array<int>")
 
 
 def lookup(path: str, doc_id: int | None) -> list[np.ndarray]:
@@ -399,27 +411,28 @@ def lookup(path: str, doc_id: int | None) -> list[np.ndarray]:
     return found
 
 
-def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+def token_digests(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, remember: bool = True) -> DataFrame:
     """Writes shards, reads them back: (id_col, start, n_tokens, ids_crc32) for every document.
 
-    start counts the ids of all documents before it, over all shards.
+    start counts the ids of all documents before it, over all shards; ``remember`` as in
+    ``write_token_shards``.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "shards")
     names = [id_col, "start", "n_tokens", "ids_crc32"]
-    shards = write_token_shards(docs, path, tokenizer, end_id, id_col, text_col)
+    shards = write_token_shards(docs, path, tokenizer, end_id, id_col, text_col, remember=remember)
     if shards.isEmpty():
         return spark.createDataFrame([], f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
-    # Each id as its four little-endian bytes.
+    # Each id as its four little-endian bytes. Read and digested by one worker, so that a task needs no second one.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in shard_rows(batches):
             ids = b.column(3)
             offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
             crc = [zlib.crc32(flat[a:z].tobytes()) for a, z in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64())], names=["shard", "id", "place", "n", "crc"])
 
-    read = cut(read_token_shards(spark, path).mapInArrow(run, "shard string, id long, place long, n long, crc long"))
+    read = cut(shard_files(spark, path).mapInArrow(released(run), "shard string, id long, place long, n long, crc long"))
     before = F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
     base = read.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.coalesce(before, F.lit(0)).alias("base"))
     return read.join(base, "shard").select(F.col("id").alias(id_col), (F.col("base") + F.col("place")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))

@@ -5,12 +5,13 @@ import re
 import time
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from isoflow.llm import langid, near_copies
+from isoflow.llm import langid, near_copies, sstable
 from isoflow.llm.common import shuffles_dropped
 
 DOC = "doc_id long, text string, lang string, source string, n_chars int"
@@ -202,3 +203,13 @@ def test_shuffle_files_go_as_queries_end(spark):
         time.sleep(0.2)
     assert not shuffles() - before
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_tokens_are_digested_where_they_are_read(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words {i} of text {i * i}", "en", "a", 9) for i in range(30)], DOC)
+    shared = [sorted(map(tuple, sstable.token_digests(docs, public_tokenizers.path("word_bpe_49k.json"), path=f"file://{tmp_path}/{r}", remember=r).collect())) for r in (True, False)]
+    assert shared[0] == shared[1] and len(shared[0]) == 30
+    encoder = sstable.TextEncoder(public_tokenizers.path("word_bpe_49k.json"), 1)
+    first = encoder.encode(["some words"])
+    encoder.forget()
+    assert not encoder.young and not encoder.old and encoder.encode(["some words"]) == first
