@@ -73,3 +73,38 @@ def test_references_are_read_from_files(spark, monkeypatch, k):
     monkeypatch.setattr(nn, "sent", None)
     monkeypatch.setattr(nn, "shuffled_sides", None)
     assert [rows(c) for c in calls] == want
+
+
+def test_paths_by_tasks_equal_those_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    edges = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 30, 60), rng.integers(0, 30, 60), rng.random(60) * 5) if a < b]
+    df = spark.createDataFrame(edges + [(40, 41, 0.5), (0, 29, 0.0), (50, 60, None)], "i long, j long, d double")
+    some = spark.createDataFrame([(40,), (3,), (999,)], "id long")
+
+    def rows():
+        return [sorted((r.i, r.j, None if r.d is None else round(r.d, 9)) for r in x.collect()) for x in (paths.all_pairs(df), paths.all_pairs(df, some))]
+
+    monkeypatch.setattr(paths, "ROW", 7)
+    got = rows()
+    monkeypatch.setattr(paths, "TASK_EDGES", 0)
+    assert got == rows()
+
+
+def test_scaling_of_more_points_than_the_driver_takes(spark, monkeypatch):
+    x = np.random.default_rng(5).standard_normal((60, 3))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    pairs = spark.createDataFrame([(3 * i, 3 * j, float(d[i, j])) for i in range(60) for j in range(i, 60)], "i long, j long, d double")
+    want = [sorted(map(tuple, df.collect())) for df in spectral.classical_scaling(pairs, 3)]
+    monkeypatch.setattr(spectral, "LANDMARKS", 20)
+    monkeypatch.setattr(paths, "ROW", 7)
+    got = [sorted(map(tuple, df.collect())) for df in spectral.classical_scaling(pairs, 3)]
+    for a, b in zip(got, want):
+        assert len(a) == len(b) and np.allclose(a, b, atol=1e-8)
+    # More dimensions than the points have.
+    assert [r.eigenvalue for r in spectral.classical_scaling(pairs, 5)[0].orderBy("k").collect()][3:] == pytest.approx([0, 0], abs=1e-9)
+    with pytest.raises(ValueError, match="every pair"):
+        spectral.classical_scaling(pairs.where("i <> 3 OR j <> 30"), 3)
+    own = g.symmetric_graph(nn.knn(vectors(spark, x), 12))
+    values = spectral.geodesic_scaling(own, 2)[0].orderBy("k").collect()
+    monkeypatch.setattr(spectral, "LANDMARKS", 2048)
+    assert [r.eigenvalue for r in values] == pytest.approx([r.eigenvalue for r in spectral.geodesic_scaling(own, 2)[0].orderBy("k").collect()], abs=1e-7)
