@@ -38,6 +38,16 @@ def pair_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dot)], names=["q", "r", "dot"])
 
 
+#: Postings that queries meet, as multiples of all pairs, beyond which blocks are compared instead; so many are met in any case.
+MEETINGS, FEW_MEETINGS = 2, 20_000_000
+
+
+def meetings(own: DataFrame, other: DataFrame) -> float:
+    """Rows that a query's features meet in the postings, for all queries together: a sum over the features."""
+    counts = [df.select(F.explode("idx").alias("f")).groupBy("f").agg(F.count("*").cast("double").alias(c)) for df, c in ((own, "a"), (other, "b"))]
+    return counts[0].join(counts[1], "f").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0.0
+
+
 def candidates(own: DataFrame, other: DataFrame, need: int, same_id: bool) -> DataFrame:
     """(q, r): the pairs of queries ``own`` and references ``other``, both (n, id, idx, val, norm), that can be near enough.
 
@@ -72,8 +82,9 @@ def candidates(own: DataFrame, other: DataFrame, need: int, same_id: bool) -> Da
 def knn_sparse_indexed(ref: DataFrame, k: int, query: DataFrame | None = None, exclude: str = "self") -> DataFrame:
     """(src, dst, rank, dist) as ``knn_sparse`` gives them, by an inverted index.
 
-    For vectors of many features of which few are shared. Values must not be negative, else
-    ``knn_sparse`` is taken, whatever their number; features must be unique within a row. Rows whose two arrays
+    For vectors of many features of which few are shared. Values must not be negative, and the
+    features of a query meet no more postings than MEETINGS times the references on average or FEW_MEETINGS in all, counted first, else
+    ``knn_sparse`` is taken, whatever their number, which gives the same rows; features must be unique within a row. Rows whose two arrays
     differ in length or hold nulls or non-finite values are left out, as are null ids.
     """
     if exclude not in ("self", "rank0", "none"):
@@ -91,6 +102,9 @@ def knn_sparse_indexed(ref: DataFrame, k: int, query: DataFrame | None = None, e
         return kept(rekey(rows, "order", "n").select("n", "id", "idx", "val", "norm"))
 
     refs, queries = placed(ref), placed(own)
+    if meetings(queries, refs) > max(FEW_MEETINGS, MEETINGS * refs.count() * queries.count()):
+        # Postings would name each pair again and again.
+        return knn_sparse(ref, k, query, exclude)
     drop = 1 if exclude == "rank0" else 0
     need = k + drop
     pairs = candidates(queries, refs, need, exclude == "self")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isoflow.operators import blocks, graph as g, knn as nn, krylov, paths, spectral
+from isoflow.operators import blocks, graph as g, knn as nn, krylov, paths, sparse_index, spectral
 
 
 def vectors(spark, x):
@@ -108,3 +108,13 @@ def test_scaling_of_more_points_than_the_driver_takes(spark, monkeypatch):
     values = spectral.geodesic_scaling(own, 2)[0].orderBy("k").collect()
     monkeypatch.setattr(spectral, "LANDMARKS", 2048)
     assert [r.eigenvalue for r in values] == pytest.approx([r.eigenvalue for r in spectral.geodesic_scaling(own, 2)[0].orderBy("k").collect()], abs=1e-7)
+
+
+def test_an_index_that_names_each_pair_often_is_not_read(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, sorted(rng.choice(12, 6, replace=False).tolist()), rng.random(6).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, idx array<int>, val array<double>")
+    want = sorted((r.src, r.dst, r["rank"], round(r.dist, 9)) for r in sparse_index.knn_sparse_indexed(df, 4).collect())
+    monkeypatch.setattr(sparse_index, "FEW_MEETINGS", 0)
+    monkeypatch.setattr(sparse_index, "candidates", None)
+    assert sorted((r.src, r.dst, r["rank"], round(r.dist, 9)) for r in sparse_index.knn_sparse_indexed(df, 4).collect()) == want
