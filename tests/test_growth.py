@@ -118,3 +118,20 @@ def test_an_index_that_names_each_pair_often_is_not_read(spark, monkeypatch):
     monkeypatch.setattr(sparse_index, "FEW_MEETINGS", 0)
     monkeypatch.setattr(sparse_index, "candidates", None)
     assert sorted((r.src, r.dst, r["rank"], round(r.dist, 9)) for r in sparse_index.knn_sparse_indexed(df, 4).collect()) == want
+
+
+def test_pairs_are_centred_where_they_are(spark):
+    x = np.random.default_rng(5).standard_normal((20, 3))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    pairs = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(20) for j in range(i, 20)], "i long, j long, d double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = spectral.double_centred(pairs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.i, r.j): r.b for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    c = x - x.mean(axis=0)
+    assert len(got) == 210 and all(b == pytest.approx(c[i] @ c[j], abs=1e-9) for (i, j), b in got.items())
